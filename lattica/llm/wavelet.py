@@ -1,0 +1,230 @@
+"""Token ids in wavelet-matrix shards.
+
+Format of a shard, all numbers little-endian: magic `WMX1`; u32 planes, u64 tokens, u64 documents; then blocks, each a
+u64 length and that many zstd bytes: document ids (i64 each), token counts (u32 each), zero counts of the planes (u64
+each), and the planes themselves, most significant bit first, eight positions to a byte, lowest bit first.
+
+A plane holds one bit of each id; below it, ids with bit 0 come before those with bit 1, order kept. With counts of
+ones before every 512th position, rank and select take one look-up and a popcount, and from them follow access,
+counting and occurrences without decoding the rest.
+"""
+
+from __future__ import annotations
+
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ._spark import partitions, stored
+from .tokens import Encoder
+
+MAGIC = b"WMX1"
+#: Tokens after which a shard is closed (it ends with a whole document).
+SHARD_TOKENS = 2 << 20
+_WORD = 512
+
+
+class WaveletMatrix:
+    """One shard: `ids` of documents laid end to end, `doc_ids` and `lengths` their bounds."""
+
+    def __init__(self, planes: list[np.ndarray], zeros: np.ndarray, n: int, doc_ids: np.ndarray, lengths: np.ndarray):
+        self.planes, self.zeros, self.n, self.doc_ids, self.lengths = planes, zeros, n, doc_ids, lengths
+        self._ones: list[np.ndarray] | None = None
+
+    @classmethod
+    def build(cls, ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> WaveletMatrix:
+        ids = np.asarray(ids, dtype=np.uint32)
+        bits = max(1, int(ids.max(initial=0)).bit_length())
+        kind = np.uint16 if bits <= 16 else np.uint32
+        ids = ids.astype(kind)
+        planes, zeros = [], np.zeros(bits, dtype=np.uint64)
+        for k in range(bits):
+            bit = (ids >> kind(bits - 1 - k)) & kind(1)
+            planes.append(np.packbits(bit.astype(np.uint8), bitorder="little"))
+            one = bit.astype(bool)
+            low = ids[~one]
+            zeros[k] = len(low)
+            ids = np.concatenate([low, ids[one]])
+        return cls(planes, zeros, len(ids), np.asarray(doc_ids, dtype=np.int64), np.asarray(lengths, dtype=np.uint32))
+
+    def to_bytes(self) -> bytes:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        blocks = [self.doc_ids.astype("<i8").tobytes(), self.lengths.astype("<u4").tobytes(), self.zeros.astype("<u8").tobytes(), *(p.tobytes() for p in self.planes)]
+        out = [MAGIC, struct.pack("<IQQ", len(self.planes), self.n, len(self.doc_ids))]
+        for block in map(pack, blocks):
+            out += [struct.pack("<Q", len(block)), block]
+        return b"".join(out)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> WaveletMatrix:
+        if data[:4] != MAGIC:
+            raise ValueError("not a wavelet-matrix shard")
+        bits, n, _ = struct.unpack_from("<IQQ", data, 4)
+        at, blocks, unpack = 4 + struct.calcsize("<IQQ"), [], zstandard.ZstdDecompressor().decompress
+        for _ in range(3 + bits):
+            (size,) = struct.unpack_from("<Q", data, at)
+            blocks.append(unpack(data[at + 8 : at + 8 + size]))
+            at += 8 + size
+        ids, lengths, zeros, *planes = (np.frombuffer(b, dtype=t) for b, t in zip(blocks, ["<i8", "<u4", "<u8", *["u1"] * bits]))
+        return cls(list(planes), zeros, n, ids, lengths)
+
+    # rank and select
+
+    def _counts(self, k: int) -> np.ndarray:
+        if self._ones is None:
+            self._ones = []
+            for plane in self.planes:
+                padded = np.zeros(-(-(self.n + 1) // _WORD) * _WORD // 8, dtype=np.uint8)
+                padded[: len(plane)] = plane
+                ones = np.bitwise_count(padded).reshape(-1, _WORD // 8).sum(1)
+                self._ones.append(np.concatenate([[0], np.cumsum(ones)]))
+        return self._ones[k]
+
+    def _rank(self, k: int, i: int) -> int:
+        """Ones before position i of plane k."""
+        block = i // _WORD
+        ones = int(self._counts(k)[block])
+        part = self.planes[k][block * _WORD // 8 : -(-i // 8)]
+        if len(part):
+            ones += int(np.bitwise_count(part).sum())
+            if i % 8:
+                ones -= int(np.bitwise_count(np.uint8(int(part[-1]) >> (i % 8))))
+        return ones
+
+    def _bit(self, k: int, i: int) -> int:
+        return int(self.planes[k][i // 8]) >> (i % 8) & 1
+
+    def _select(self, k: int, bit: int, nth: int) -> int:
+        """Position of the nth (from 0) such bit in plane k."""
+        counts = self._counts(k)
+        before = counts if bit else np.minimum(np.arange(len(counts)) * _WORD, self.n) - counts
+        block = int(np.searchsorted(before, nth, side="right")) - 1
+        part = np.unpackbits(self.planes[k][block * _WORD // 8 : (block + 1) * _WORD // 8], bitorder="little")
+        return block * _WORD + int(np.flatnonzero(part == bit)[nth - int(before[block])])
+
+    def access(self, i: int) -> int:
+        """The id at position i."""
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        value = 0
+        for k in range(len(self.planes)):
+            bit, ones = self._bit(k, i), self._rank(k, i)
+            value = value << 1 | bit
+            i = int(self.zeros[k]) + ones if bit else i - ones
+        return value
+
+    def _range(self, token: int, begin: int, end: int) -> tuple[int, int]:
+        bits = len(self.planes)
+        if token >> bits:
+            return 0, 0
+        for k in range(bits):
+            low, high = self._rank(k, begin), self._rank(k, end)
+            if token >> (bits - 1 - k) & 1:
+                begin, end = int(self.zeros[k]) + low, int(self.zeros[k]) + high
+            else:
+                begin, end = begin - low, end - high
+        return begin, end
+
+    def count(self, token: int, begin: int = 0, end: int | None = None) -> int:
+        """How often an id occurs in positions begin to end."""
+        a, b = self._range(token, begin, self.n if end is None else end)
+        return b - a
+
+    def locate(self, token: int, nth: int) -> int:
+        """Position of the nth (from 0) occurrence of an id; IndexError if there are fewer."""
+        a, b = self._range(token, 0, self.n)
+        if not 0 <= nth < b - a:
+            raise IndexError(nth)
+        i, bits = a + nth, len(self.planes)
+        for k in reversed(range(bits)):
+            bit = token >> (bits - 1 - k) & 1
+            i = self._select(k, bit, i - int(self.zeros[k]) if bit else i)
+        return i
+
+    def occurrences(self, token: int) -> list[int]:
+        return [self.locate(token, k) for k in range(self.count(token))]
+
+    def decode(self) -> np.ndarray:
+        """All ids."""
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        values = np.zeros(self.n, dtype=kind)
+        for k in reversed(range(len(self.planes))):
+            one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
+            above, zeros = np.empty(self.n, dtype=kind), int(self.zeros[k])
+            above[~one] = values[:zeros]
+            above[one] = values[zeros:] | kind(1 << (len(self.planes) - 1 - k))
+            values = above
+        return values.astype("<u4")
+
+
+def _write(path: str, keeps_space: bool, end_id: int, shard_tokens: int):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end = Encoder(path, keeps_space), np.array([end_id], dtype="<u4").tobytes()
+        part, seq, docs, sizes, ids, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+
+        def shard() -> pa.RecordBatch:
+            lengths = np.array(sizes, dtype=np.uint32)
+            blob = WaveletMatrix.build(np.frombuffer(b"".join(ids), dtype="<u4"), np.array(docs, dtype=np.int64), lengths).to_bytes()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(lengths.sum(dtype=np.int64))], pa.int64()), pa.array([blob], pa.binary())], ["part", "seq", "n_tokens", "shard"]
+            )
+
+        for frame in frames:
+            for doc, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
+                got = encoder.encode(text) + end
+                docs.append(doc)
+                sizes.append(len(got) // 4)
+                ids.append(got)
+                held += len(got) // 4
+                if held >= shard_tokens:
+                    yield shard()
+                    seq, docs, sizes, ids, held = seq + 1, [], [], [], 0
+        if docs:
+            yield shard()
+
+    return run
+
+
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool = True, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Encodes every text and writes the shards, in ascending doc_id order, as a table in the shared folder.
+
+    Returns the table, read back: part and seq (their order), n_tokens, shard (the bytes of one file in the format
+    above; `WaveletMatrix.from_bytes` opens them). A null or empty text has the end id only; rows without doc_id are
+    left out, as they have no place in the order; rows that repeat a doc_id follow each other as read. An empty table
+    gives no shards.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    rows = rows.withColumn("tie", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    return stored(rows.mapInArrow(_write(tokenizer, keeps_space, end_id, shard_tokens), "part int, seq int, n_tokens long, shard binary"), "wavelet")
+
+
+def _read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for frame in frames:
+        for begin, data in zip(frame.column(0).to_pylist(), frame.column(1)):
+            shard = WaveletMatrix.from_bytes(data.as_py())
+            ids = memoryview(shard.decode().tobytes())
+            ends = np.cumsum(shard.lengths, dtype=np.int64)
+            starts = ends - shard.lengths
+            sums = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard.doc_ids), pa.array(starts + begin), pa.array(shard.lengths.astype(np.int64)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
+            )
+
+
+def read_shards(shards: DataFrame) -> DataFrame:
+    """One row per document of the shards: doc_id, start (ids before it), n_tokens, ids_crc32 (of its ids as u32 bytes)."""
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = parts.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "before")
+    inner = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    starts = shards.select("part", "seq", F.coalesce(inner, F.lit(0)).alias("within")).join(F.broadcast(before), "part")  # a row per partition at most
+    starts = starts.select("part", "seq", (F.col("within") + F.coalesce("before", F.lit(0))).alias("begin"))
+    return shards.select("part", "seq", "shard").join(F.broadcast(starts), ["part", "seq"]).select("begin", "shard").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
