@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, ngram_join, packing, secrets, toxicity, vptree, wavelet
+from . import html_text, mixing, ngram_join, outliers, packing, perplexity, secrets, toxicity, vptree, wavelet
 from ._spark import trusted_labels
 
 
@@ -28,6 +28,11 @@ def op2_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(wavelet.write_shards(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2))
 
 
+def op3_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = trusted_labels(spark, sf_dir).where("quality = 1")
+    return perplexity.classify(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -52,6 +57,11 @@ def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = outliers.judge(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), mixing.quality_weights(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
