@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,28 +49,61 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the links (a[i], b[i]) and for each the smallest node reachable from it."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)  # hook the roots, then shorten every path
+        np.minimum.at(new, label[b], low)
+        while True:
+            shorter = new[new]
+            if (shorter == new).all():
+                break
+            new = shorter
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _contract(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's links, replaced by one link to the smallest node of each of their components."""
+    parts = [(f.column(0).to_numpy(), f.column(1).to_numpy()) for f in frames]
+    if parts:
+        nodes, tops = smallest_reachable(*(np.concatenate(x) for x in zip(*parts)))
+        for at in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + (1 << 16)]), pa.array(tops[at : at + (1 << 16)])], ["hi", "lo"])
+
+
+def components(links: DataFrame, most_rounds: int = 60, one_task: int = BROADCAST_ROWS) -> DataFrame:
     """Connected components of links (a, b): one row (node, component) per node, component the smallest node reachable.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014), each stored, until nothing changes. Empty links
-    give no rows; loops and repeated links change nothing. Raises if most_rounds is not enough, rather than return
-    something unfinished.
+    Each partition first contracts its links to stars. If a count then proves that at most `one_task` links are left,
+    one task ends the work; else large-star and small-star steps alternate (Kiveris et al. 2014), each stored, until
+    nothing changes. Empty links give no rows; loops and repeated links change nothing. Raises if most_rounds is not
+    enough, rather than return something unfinished.
     """
-    edges = stored(links.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "links")
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    edges = stored(edges.mapInArrow(_contract, "hi long, lo long").where("hi <> lo"), "links")
     before = None
     for _ in range(most_rounds):
+        after = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        if after[0] <= one_task:
+            return edges.repartition(1).mapInArrow(_contract, "hi long, lo long").select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+        if after == before:
+            break
+        before = after
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
         large = stored(large, "large")
         least = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
         joined = large.withColumnRenamed("hi", "u").join(least, "u")
         small = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(joined.select(F.col("u").alias("hi"), F.col("m").alias("lo")))
         edges = stored(small.where("hi <> lo").distinct(), "small")
-        after = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError(f"components not found in {most_rounds} rounds")
     tops = edges.select(F.col("lo").alias("node")).distinct()
