@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import partitions
-from .tokens import Encoder
+from .tokens import encoder
 
 WINDOW = 2048
 #: Documents of a shard, about.
@@ -116,7 +116,7 @@ def _pack(tokenizer: str, end_id: int, window: int, with_ids: bool):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, False)
+        codec = encoder(tokenizer, False)
         shard, docs, held = None, [], []
 
         def rows() -> pa.RecordBatch:
@@ -140,7 +140,7 @@ def _pack(tokenizer: str, end_id: int, window: int, with_ids: bool):
                     docs, held = [], []
                 shard = number
                 docs.append(doc)
-                held.append(encoder.encode(text) + end)
+                held.append(codec.encode(text) + end)
         if held:
             yield rows()
 

@@ -1,68 +1,115 @@
 """Encoding whole texts with a public byte-pair tokenizer, piece by piece.
 
-A text is cut into pieces that the tokenizer treats independently, and each distinct piece is encoded once per worker.
-Where the cuts lie depends on how the tokenizer splits text (see `cut`). Strings of special tokens in a text are
-ordinary text.
+A text is cut into pieces that the tokenizer treats independently, and a worker remembers the ids of pieces it has seen.
+Where the cuts lie depends on how the tokenizer splits text (see `Encoder`). A piece that is a Latin word, perhaps with
+punctuation after it, goes to the tokenizer's merge model directly, as what precedes the model is known for it; any
+other piece takes the whole tokenizer. Strings of special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+from array import array
 
 import numpy as np
 
-#: Distinct pieces that a worker remembers; then it starts anew.
-CACHE_PIECES = 400_000
+#: Pieces that a worker remembers: two generations of so many, of which the older one is dropped when the younger is full.
+CACHE_PIECES = 500_000
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _RUN = re.compile(r"\s[\s]")
+#: Latin letters that lower-case to one letter and that normalisation leaves alone, then ASCII punctuation but the apostrophe.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ň]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> list[str]:
+    """The visible character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+_LETTERS = {b: c for b, c in enumerate(_byte_letters())}
 
 
 class Encoder:
     """Encodes texts into bytes of little-endian unsigned 32-bit ids.
 
     keeps_space: True for byte-level tokenizers, whose pieces begin with the blank before a word; a cut lies before each
-    blank that a non-blank follows, which no token spans. False for tokenizers that drop white space: a cut lies at
-    each blank and line feed.
+    blank that a non-blank follows, and around a line feed between non-blanks; no token spans those. False for tokenizers that lower-case and drop white space: a
+    cut lies at each blank and line feed.
     """
 
     def __init__(self, path: str, keeps_space: bool):
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
         self._keeps_space = keeps_space
-        self._pieces = _Pieces(self._tokenizer)
+        self._first = _Pieces(tokenizer, "", not keeps_space)
+        self._later = _Pieces(tokenizer, " ", False) if keeps_space else self._first
+        self._feed = self._first["\n"]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of one text; a null or empty text has none."""
         if not text:
             return b""
-        if len(self._pieces) > CACHE_PIECES:
-            self._pieces.clear()
         if not self._keeps_space:
-            return b"".join(map(self._pieces.__getitem__, text.replace("\n", " ").split(" ")))
-        if text[-1] != " " and _RUN.search(text) is None:
-            first, *rest = text.split(" ")
-        else:
+            return b"".join(map(self._first.__getitem__, text.replace("\n", " ").split(" ")))
+        if text[-1] == " " or _RUN.search(text) is not None:
             first, *rest = _BEFORE_WORD.split(text)
-        return self._pieces[first] + b"".join(map(self._pieces.later.__getitem__, rest))
+            return self._first[first] + b"".join(map(self._later.__getitem__, rest))
+        lines = []
+        for line in text.split("\n"):
+            out = line.split(" ")
+            first = self._first[out[0]]
+            out[1:] = map(self._later.__getitem__, out[1:])
+            out[0] = first
+            lines.append(b"".join(out))
+        return self._feed.join(lines)
+
+
+@functools.cache
+def encoder(path: str, keeps_space: bool) -> Encoder:
+    """The worker's encoder for a tokenizer, kept between tasks."""
+    return Encoder(path, keeps_space)
 
 
 class _Pieces(dict):
-    def __init__(self, tokenizer, lead: str = ""):
+    """Ids of pieces that follow `lead`; lower says that the tokenizer lower-cases."""
+
+    def __init__(self, tokenizer, lead: str, lower: bool):
         super().__init__()
-        self._tokenizer, self._lead = tokenizer, lead
-        self.later = _Pieces(tokenizer, " ") if not lead else self
+        self._tokenizer, self._lead, self._lower = tokenizer, lead, lower
+        self._model = tokenizer.model
+        self._older: dict[str, bytes] = {}
+        self._marks: dict[str, bytes] = {"": b""}
+        self._head = "".join(_LETTERS[b] for b in lead.encode())
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self._tokenizer.encode(self._lead + piece, add_special_tokens=False).ids
-        found = self[piece] = np.array(ids, dtype="<u4").tobytes()
+        if len(self) >= CACHE_PIECES:
+            self._older = dict(self)
+            self.clear()
+        found = self._older.get(piece)
+        if found is None:
+            found = self._compute(piece)
+        self[piece] = found
         return found
 
-    def __len__(self) -> int:
-        return super().__len__() + (0 if self.later is self else super(_Pieces, self.later).__len__())
-
-    def clear(self) -> None:
-        super().clear()
-        if self.later is not self:
-            super(_Pieces, self.later).clear()
+    def _compute(self, piece: str) -> bytes:
+        plain = _PLAIN.fullmatch(piece)
+        if plain is None:
+            return np.array(self._tokenizer.encode(self._lead + piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        word, marks = plain.groups()
+        if marks:
+            tail = self._marks.get(marks)
+            if tail is None:
+                tail = np.array(self._tokenizer.encode(marks, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                if len(self._marks) < 10_000:
+                    self._marks[marks] = tail
+            return self[word] + tail
+        if self._lower and not word.islower():
+            return self[word.lower()]
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self._model.tokenize(self._head + word)]).tobytes()
