@@ -105,19 +105,18 @@ def apply(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     mixed: doc_id, size and taken of these docs, as mix() returns them; rows that repeat a doc_id share what is taken
     of it evenly, as sums allow. Columns are those of docs; n_chars, if there is one, counts the text that is left.
     """
-    most = mixed.groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    rows = docs.join(small_or_not(most), "doc_id").where("_taken > 0")
-    words = word_count(F.col("text"))
-    share = F.floor(F.col("_taken") * words / F.col("_size"))
-    rows = rows.withColumn("_words", words).withColumn("_share", share).where("_share > 0")
-    rows = rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_share") / F.col("_words")).cast("int"))))
-    left = F.least(F.col("_words"), F.col("_share") - (F.col("_turn") - 1) * F.col("_words"))
-    start = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), left.cast("string"), F.lit("}"))
-    text = F.when(left == F.col("_words"), F.col("text")).otherwise(F.regexp_substr("text", start))
+    most = mixed.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("doc_id", F.col("row.doc_id")).join(small_or_not(most), "doc_id").where("taken > 0")
+    rows = rows.withColumn("words", word_count(F.col("row.text"))).withColumn("share", F.floor(F.col("taken") * F.col("words") / F.col("size"))).where("share > 0")
+    rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(1), F.ceil(F.col("share") / F.col("words")).cast("int"))))
+    rows = rows.withColumn("left", F.least(F.col("words"), F.col("share") - (F.col("turn") - 1) * F.col("words")))
+    ends = F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each piece is a word and the blanks before it
+    text = F.when(F.col("left") == F.col("words"), F.col("row.text")).otherwise(F.array_join(F.slice(ends, F.lit(1), F.col("left").cast("int")), ""))
     rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in out:
+        out["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[x.alias(c) for c, x in out.items()])
 
 
 ORACLE = """
