@@ -69,31 +69,28 @@ def co_training(pairs: DataFrame, positive: DataFrame, negative: DataFrame, alph
     return state.select(F.substring_index("id", ":", 1).alias("kind"), F.regexp_replace("id", "^[a-z]+:", "").alias("name"), F.col("p").alias("prob"))
 
 
-def core_numbers(edges: DataFrame, most: int = 15_000, vertices: DataFrame | None = None) -> DataFrame:
-    """id and core: for k = 1, 2, ... vertices with at most k incident open edges close, again and again, with core k.
+def core_numbers(edges: DataFrame, most_rounds: int = 500, vertices: DataFrame | None = None) -> DataFrame:
+    """id and core: the k with which a vertex closes if, for k = 1, 2, ..., vertices with at most k incident open edges close again and again.
 
-    Parallel and reciprocal edges count separately. Vertices without edges have core 1.
+    Parallel and reciprocal edges count separately; vertices without edges have core 1. Computed without peeling: a
+    vertex's core is the fixed point of taking, from its degree on, the largest h such that h of its edges lead to
+    values of h and more (Lu et al. 2016). Edges are summed by (vertex, value) first, so a hub costs one row per value.
     """
-    open_edges = stored(proper(edges).select("src", "dst"), "open")
-    ids = stored(vertices.select("id") if vertices is not None else ids_of(edges), "ids")
-    done, k = None, 1
-    while k <= most and open_edges.limit(1).count():
-        ends = open_edges.select(F.col("src").alias("id")).union(open_edges.select("dst"))
-        low = stored(ends.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") <= k).select("id", F.lit(k).alias("core")), "low")
-        if low.limit(1).count() == 0:
-            k += 1
-            continue
-        gone = low.select("id")
-        rest = open_edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
-        # vertices that lose their last open edge close with this k too
-        left = stored(rest, "open")
-        orphans = ends.distinct().join(gone, "id", "left_anti").join(ids_of(left), "id", "left_anti").select("id", F.lit(k).alias("core"))
-        low = low.union(orphans)
-        done = stored(low if done is None else done.union(low), "cores")
-        open_edges = left
-    if done is None:
-        return ids.withColumn("core", F.lit(1))
-    return ids.join(done, "id", "left").withColumn("core", F.coalesce("core", F.lit(1)))
+    both = proper(edges).select("src", "dst")
+    both = stored(both.union(reverse(both)).groupBy("src", "dst").agg(F.count("*").alias("n")), "both")
+    state = stored(both.groupBy(F.col("dst").alias("id")).agg(F.sum("n").alias("core")), "cores")
+    falling = Window.partitionBy("id").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for _ in range(most_rounds):
+        near = both.join(state.select(F.col("id").alias("src"), F.col("core").alias("value")), "src").groupBy(F.col("dst").alias("id"), "value").agg(F.sum("n").alias("n"))
+        high = near.withColumn("upto", F.sum("n").over(falling)).groupBy("id").agg(F.max(F.least("value", "upto")).alias("h"))
+        new = stored(state.join(high, "id").select("id", F.least("core", "h").alias("core"), (F.col("h") < F.col("core")).alias("moved")), "cores")
+        state = new.select("id", "core")
+        if new.where("moved").limit(1).count() == 0:
+            break
+    else:
+        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+    ids = vertices.select("id") if vertices is not None else ids_of(edges)
+    return ids.join(state, "id", "left").select("id", F.greatest(F.coalesce("core", F.lit(1)), F.lit(1)).cast("int").alias("core"))
 
 
 def core_table(edges: DataFrame, cores: DataFrame) -> DataFrame:

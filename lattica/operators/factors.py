@@ -57,7 +57,7 @@ def coordinate_descent(lam: float, sweeps: int = 3) -> Kernel:
 
 def cosamp(a: np.ndarray, b: np.ndarray, k: int, most: int = 10, tolerance: float = 1e-6) -> np.ndarray:
     """The k-sparse x with a @ x close to b, by compressive sampling matching pursuit."""
-    x, residual, support = np.zeros(a.shape[1]), b.copy(), np.zeros(0, dtype=int)
+    x, best, residual, support = np.zeros(a.shape[1]), None, b.copy(), np.zeros(0, dtype=int)
     for _ in range(most):
         proxy = np.abs(a.T @ residual)
         merged = np.union1d(support, np.argsort(-proxy, kind="stable")[: 2 * k])
@@ -67,10 +67,10 @@ def cosamp(a: np.ndarray, b: np.ndarray, k: int, most: int = 10, tolerance: floa
         x = np.zeros(a.shape[1])
         x[support] = fit[keep]
         new = b - a @ x
-        if np.linalg.norm(new - residual) < tolerance:
-            break
-        residual = new
-    return x
+        if best is not None and np.linalg.norm(new) > np.linalg.norm(residual) - tolerance:
+            break  # no longer nearer: the step before it stands
+        best, residual = x, new
+    return best if best is not None else x
 
 
 def sparse(lam: float, k: int) -> Kernel:

@@ -72,12 +72,21 @@ def rating_similarity(ratings: DataFrame, metric: str = "cosine", k: int | None
     sides = [stats.select(*[F.col(c).alias(f"{c}_{e}" if c != "item" else f"item_{e}") for c in stats.columns]) for e in "ij"]
     joined = pairs.join(sides[0], "item_i").join(sides[1], "item_j")
     c = F.col
-    if metric == "chebyshev":  # largest rating of either item by a user who did not rate the other
-        lone = _pairs(rows, most_items)
-        both = lone.select("user", "item_i", "item_j")
-        ends = [joined.select("item_i", "item_j").join(rows.select("user", F.col("item").alias(f"item_{e}"), F.abs("rating").alias("r")), f"item_{e}").join(both, ["user", "item_i", "item_j"], "left_anti").select("item_i", "item_j", "r") for e in "ij"]
-        outside = ends[0].unionByName(ends[1]).groupBy("item_i", "item_j").agg(F.max("r").alias("outside"))
-        joined = joined.join(outside, ["item_i", "item_j"], "left").withColumn("far", F.greatest(c("far"), F.coalesce("outside", F.lit(0.0))))
+    if metric == "chebyshev":  # also the largest rating of either item by a user who did not rate the other
+        peaks = rows.join(stats.select("item", "top"), "item").withColumn("at_top", (F.abs("rating") == F.col("top")).cast("int"))
+        tops = peaks.groupBy("item").agg(F.sum("at_top").alias("n_top"))
+        both = _pairs(peaks.select("user", "item", F.col("at_top").alias("rating")), most_items).groupBy("item_i", "item_j").agg(F.sum("x").alias("x_top"), F.sum("y").alias("y_top"))
+        joined = joined.join(both, ["item_i", "item_j"])
+        for e, shared in (("i", "x_top"), ("j", "y_top")):
+            joined = joined.join(tops.select(F.col("item").alias(f"item_{e}"), F.col("n_top").alias(f"n_top_{e}")), f"item_{e}").withColumn(f"lone_{e}", F.col(f"n_top_{e}") > F.col(shared))
+        joined = stored(joined, "peaks")
+        open_ = [joined.where(f"not lone_{e}").select("item_i", "item_j").join(rows.select("user", F.col("item").alias(f"item_{e}"), F.abs("rating").alias("r")), f"item_{e}") for e in "ij"]
+        other = [rows.select("user", F.col("item").alias(f"item_{e}")) for e in "ji"]
+        outside = [x.join(o, ["user", f"item_{e}"], "left_anti").groupBy("item_i", "item_j").agg(F.max("r").alias(f"out_{f}")) for x, o, e, f in zip(open_, other, "ji", "ij")]
+        for part in outside:
+            joined = joined.join(part, ["item_i", "item_j"], "left")
+        lone = [F.when(F.col(f"lone_{e}"), F.col(f"top_{e}")).otherwise(F.coalesce(f"out_{e}", F.lit(0.0))) for e in "ij"]
+        joined = joined.withColumn("far", F.greatest(c("far"), *lone))
     sim = {
         "pearson": (c("xy") / users - c("s_i") * c("s_j") / users / users) / F.sqrt((c("ss_i") / users - (c("s_i") / users) ** 2) * (c("ss_j") / users - (c("s_j") / users) ** 2)),
         "cosine": c("xy") / F.sqrt(c("ss_i") * c("ss_j")),

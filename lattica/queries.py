@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one per operator, each with the same computation in SQL where SQL can express it.
 
-Graphs: `edges` links consecutive users of each day's events; `sparse` is a thinner part of it. Ratings: a customer rates
+Graphs: `edges` links consecutive users of each day's events. Ratings: a customer rates
 a part by the mean quantity ordered. Doubles are rounded to six decimals on both sides.
 """
 
@@ -42,12 +42,8 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("dst is not null and src <> dst").distinct()
 
 
-def sparse(spark: SparkSession, sf: str) -> DataFrame:
-    return edges(spark, sf).where("(src * 7 + dst) % 61 = 0")
-
-
 def weighted(spark: SparkSession, sf: str) -> DataFrame:
-    return sparse(spark, sf).withColumn("weight", ((F.col("src") * 31 + F.col("dst") * 17) % 101).cast("int"))
+    return edges(spark, sf).withColumn("weight", ((F.col("src") * 31 + F.col("dst") * 17) % 101).cast("int"))
 
 
 def ratings(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,11 +51,6 @@ def ratings(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item")).agg(F.avg("l_quantity").alias("rating"))
 
 
-def thin(spark: SparkSession, sf: str) -> DataFrame:
-    """A part of the ratings for the quadratic item-item queries' checks: every customer, every 20th part."""
-    return ratings(spark, sf).where("item % 20 = 0")
-
-
 def _r(x, name: str):
     x = F.col(x) if isinstance(x, str) else x
     return F.round(x, 6).alias(name)
@@ -67,11 +58,11 @@ def _r(x, name: str):
 
 _E = """e as (select distinct src, dst from (select user_id as src, lead(user_id) over (partition by cast(ts as date) order by ts, event_id) as dst from events)
   where dst is not null and src <> dst),
-se as (select src, dst from e where (src * 7 + dst) % 61 = 0),
+se as (select src, dst from e),
 v as (select src as id from e union select dst from e), sv as (select src as id from se union select dst from se),
 both_se as (select src, dst from se union select dst, src from se)"""
 _RATINGS = """r as (select o_custkey as u, l_partkey as i, avg(l_quantity) as x from orders join lineitem on o_orderkey = l_orderkey group by 1, 2),
-t as (select * from r where i % 20 = 0)"""
+t as (select * from r)"""
 
 
 def _with(ctes: str, body: str, recursive: bool = False) -> str:
@@ -89,7 +80,7 @@ def _(s, d):
 
 @_query("g_symmetrise", _with(_E, " select src, dst from both_se"))
 def _(s, d):
-    return G.symmetrise(sparse(s, d))
+    return G.symmetrise(edges(s, d))
 
 
 @_query("g_proper", "select user_id as src, user_id % 10 as dst from events where user_id <> user_id % 10")
@@ -103,9 +94,9 @@ def _(s, d):
     return G.dedupe(G.proper(rows), F.col("value"))
 
 
-@_query("g_without_edges", _with(_E, " select src, dst from e where (src, dst) not in (select src, dst from se)"))
+@_query("g_without_edges", _with(_E, " select src, dst from e where (src, dst) not in (select dst, src from e)"))
 def _(s, d):
-    return G.Graph(edges(s, d)).without(sparse(s, d)).edges
+    return G.Graph(edges(s, d)).without(G.reverse(edges(s, d))).edges
 
 
 @_query("g_without_vertices", _with(_E, " select src, dst from e where src % 3 <> 0 and dst % 3 <> 0"))
@@ -115,7 +106,7 @@ def _(s, d):
 
 @_query("g_append", _with(_E, " select src, dst from e union all select src, dst from se"))
 def _(s, d):
-    return G.Graph(edges(s, d)).append(sparse(s, d)).edges
+    return G.Graph(edges(s, d)).append(edges(s, d)).edges
 
 
 @_query("g_dense_ids", _with(_E, " select id from range((select max(greatest(src, dst)) + 1 from e)) x(id)"))
@@ -125,13 +116,13 @@ def _(s, d):
 
 @_query("g_adjacency", _with(_E, " select src as id, count(*) as n, list_sort(list(dst)) as targets from se group by 1"))
 def _(s, d):
-    return sinks.adjacency(sparse(s, d))
+    return sinks.adjacency(edges(s, d))
 
 
 @_query("g_order_by_degree", _with(_E, """, deg as (select id, (select count(*) from se where dst = id or src = id) as n from sv), m as (select id, row_number() over (order by n, id) - 1 as k from deg)
   select a.k as src, b.k as dst from se join m a on a.id = src join m b on b.id = dst"""))
 def _(s, d):
-    return ranking.order_by_degree(sparse(s, d))[0]
+    return ranking.order_by_degree(edges(s, d))[0]
 
 
 @_query("g_top_degree", _with(_E, " select id, count(*) as degree from (select src as id from e union all select dst from e) group by id order by degree desc, id limit 20"))
@@ -141,13 +132,13 @@ def _(s, d):
 
 @_query("g_frontier", _with(_E, " select distinct dst as id from se where src % 5 = 0"))
 def _(s, d):
-    e = sparse(s, d)
+    e = edges(s, d)
     return supersteps.active(G.ids_of(e).where("id % 5 = 0"), e)
 
 
 @_query("g_common_neighbours", _with(_E, """ select p.src as a, p.dst as b, list_sort(list(x.dst)) as common from se p join e x on x.src = p.src join e y on y.src = p.dst and y.dst = x.dst group by 1, 2"""))
 def _(s, d):
-    return tables.intersect_neighbours(edges(s, d), sparse(s, d).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return tables.intersect_neighbours(edges(s, d), edges(s, d).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
 @_query("g_vertex_sum", _with(_E, " select sum(id)::bigint as total, count(*) as n from v"))
@@ -164,7 +155,7 @@ def _(s, d):
 
 @_query("g_gather_max", _with(_E, " select dst as id, max(src) as message from se group by dst"))
 def _(s, d):
-    e = sparse(s, d)
+    e = edges(s, d)
     return supersteps.messages(e, G.ids_of(e).withColumn("value", F.col("id")), F.col("value"), F.max)
 
 
@@ -213,7 +204,7 @@ def _(s, d):
 
 @_query("g_gas_components", _with(_E + """, reach(id, other) as (select id, id from sv union select r.id, b.dst from reach r join both_se b on b.src = r.other)""", " select id, min(other) as label from reach group by id", True))
 def _(s, d):
-    e = sparse(s, d)
+    e = edges(s, d)
     program = supersteps.GasProgram(F.col("nbr_label"), F.min, {"label": F.least("label", "gathered")}, F.col("label") < F.col("old_label"), "all", "all")
     first = supersteps.GasProgram(F.col("nbr_label"), F.min, {"label": F.least("label", "gathered")}, F.lit(True), "all", "all")
     start = supersteps.run_gas(e, G.ids_of(e).withColumn("label", F.col("id")), first, 1)
@@ -225,23 +216,23 @@ _REACH = _E + ", reach(id, other) as (select id, id from sv union select r.id, b
 
 @_query("g_components", _with(_REACH, " select id, component from cc", True))
 def _(s, d):
-    return components.connected(sparse(s, d))
+    return components.connected(edges(s, d))
 
 
 @_query("g_min_label", _with(_E, """, l0 as (select id, id as label from sv), l1 as (select id, least(label, coalesce((select min(x.label) from both_se join l0 x on x.id = src where dst = l0.id), label)) as label from l0),
   l2 as (select id, least(label, coalesce((select min(x.label) from both_se join l1 x on x.id = src where dst = l1.id), label)) as label from l1) select id, label from l2"""))
 def _(s, d):
-    return components.min_label(sparse(s, d), 2)
+    return components.min_label(edges(s, d), 2)
 
 
 @_query("g_label_histogram", _with(_REACH, " select component as label, count(*) as n from cc group by 1", True))
 def _(s, d):
-    return components.label_histogram(components.connected(sparse(s, d)), "component")
+    return components.label_histogram(components.connected(edges(s, d)), "component")
 
 
 @_query("g_label_histogram_compat", _with(_REACH, " select component as label, count(*) + 1 as n from cc where component <> id group by 1", True))
 def _(s, d):
-    return components.label_histogram(components.connected(sparse(s, d)), "component", compat=True)
+    return components.label_histogram(components.connected(edges(s, d)), "component", compat=True)
 
 
 _SIZES = _REACH + ", sizes as (select component, count(*) as n_vertices, (select count(*) from se join cc x on x.id = src where x.component = cc.component) as n_edges from cc group by component)"
@@ -249,18 +240,18 @@ _SIZES = _REACH + ", sizes as (select component, count(*) as n_vertices, (select
 
 @_query("g_component_statistics", _with(_SIZES, " select component, n_vertices, n_edges from sizes", True))
 def _(s, d):
-    e = sparse(s, d)
+    e = edges(s, d)
     return components.component_statistics(e, components.connected(e))
 
 
 @_query("g_percolation", _with(_SIZES, " select 'site' as kind, n_vertices as size, count(*) as n from sizes group by 2 union all select 'bond', n_edges, count(*) from sizes group by 2", True))
 def _(s, d):
-    return components.percolation(sparse(s, d))
+    return components.percolation(edges(s, d))
 
 
 @_query("g_strongly_connected", _with(_E + ", reach(id, other) as (select id, id from sv union select r.id, se.dst from reach r join se on se.src = r.other)", " select a.id, min(a.other) as component from reach a join reach b on a.id = b.other and a.other = b.id group by a.id", True))
 def _(s, d):
-    return components.strongly_connected(sparse(s, d))
+    return components.strongly_connected(edges(s, d))
 
 
 def _lpa_sql(steps: int) -> str:
@@ -272,7 +263,7 @@ def _lpa_sql(steps: int) -> str:
 
 @_query("g_label_propagation", _lpa_sql(3))
 def _(s, d):
-    return communities.label_propagation(sparse(s, d), 3)
+    return communities.label_propagation(edges(s, d), 3)
 
 
 def _seeded_sql(steps: int) -> str:
@@ -286,7 +277,7 @@ def _seeded_sql(steps: int) -> str:
 
 @_query("g_seeded_propagation", _seeded_sql(3))
 def _(s, d):
-    e = sparse(s, d)
+    e = edges(s, d)
     seeds = G.ids_of(e).where("id % 9 = 0").select("id", (F.col("id") % 2).alias("label"), F.lit(1.0).alias("prob"))
     return communities.seeded_propagation(e, seeds, supersteps=3).select("id", "label", _r("prob", "prob"))
 
@@ -306,12 +297,12 @@ def _(s, d):
 
 @_query("g_core_numbers")
 def _(s, d):
-    return communities.core_numbers(sparse(s, d))
+    return communities.core_numbers(edges(s, d))
 
 
 @_query("g_core_table")
 def _(s, d):
-    e = sparse(s, d)
+    e = edges(s, d)
     return communities.core_table(e, communities.core_numbers(e))
 
 
@@ -338,7 +329,7 @@ def _(s, d):
 @_query("g_neighbourhood", _with(_E, """, h1 as (select src, dst from both_se where src % 50 = 0), f1 as (select distinct dst as id from h1 where dst % 50 <> 0), h2 as (select b.src, b.dst from both_se b join f1 on f1.id = b.src),
   every as (select *, 1 as hop from h1 union all select *, 2 from h2) select least(src, dst) as src, greatest(src, dst) as dst, min(hop) as hop from every group by 1, 2"""))
 def _(s, d):
-    e = sparse(s, d)
+    e = edges(s, d)
     return communities.neighbourhood(e, G.ids_of(e).where("id % 50 = 0"), hops=2)
 
 
@@ -383,7 +374,7 @@ def _(s, d):
 
 @_query("gen_random_weights")
 def _(s, d):
-    return generators.random_weights(sparse(s, d))
+    return generators.random_weights(edges(s, d))
 
 
 @_query("gen_base_and_stream")
@@ -432,27 +423,27 @@ q as (select p.*, x.s as si, y.s as sj from p join sz x on x.i = item_i join sz
 
 @_query("cf_jaccard", _with(_SETS, " select item_i, item_j, round(common / (si + sj - common), 6) as sim from q where common >= 2"))
 def _(s, d):
-    return items.set_similarity(thin(s, d), "jaccard", least_common=2).select("item_i", "item_j", _r("sim", "sim"))
+    return items.set_similarity(ratings(s, d), "jaccard", least_common=2).select("item_i", "item_j", _r("sim", "sim"))
 
 
 @_query("cf_adamic_adar", _with(_SETS, " select item_i, item_j, round(aa, 6) as sim from q where aa <> 0"))
 def _(s, d):
-    return items.set_similarity(thin(s, d), "adamic_adar").select("item_i", "item_j", _r("sim", "sim"))
+    return items.set_similarity(ratings(s, d), "adamic_adar").select("item_i", "item_j", _r("sim", "sim"))
 
 
 @_query("cf_resource_allocation", _with(_SETS, " select item_i, item_j, round(ra, 6) as sim from q"))
 def _(s, d):
-    return items.set_similarity(thin(s, d), "resource_allocation").select("item_i", "item_j", _r("sim", "sim"))
+    return items.set_similarity(ratings(s, d), "resource_allocation").select("item_i", "item_j", _r("sim", "sim"))
 
 
 @_query("cf_asym_cosine", _with(_SETS, " select item_i, item_j, round(common / (pow(si, 0.3) * pow(sj, 0.7)), 6) as sim from (select item_i, item_j, common, si, sj from q union all select item_j, item_i, common, sj, si from q)"))
 def _(s, d):
-    return items.set_similarity(thin(s, d), "asym_cosine", alpha=0.3).select("item_i", "item_j", _r("sim", "sim"))
+    return items.set_similarity(ratings(s, d), "asym_cosine", alpha=0.3).select("item_i", "item_j", _r("sim", "sim"))
 
 
 @_query("cf_probabilistic", _with(_SETS, " select item_i, item_j, round(common / si, 6) as sim from (select item_i, item_j, common, si from q union all select item_j, item_i, common, sj from q)"))
 def _(s, d):
-    return items.set_similarity(thin(s, d), "probabilistic").select("item_i", "item_j", _r("sim", "sim"))
+    return items.set_similarity(ratings(s, d), "probabilistic").select("item_i", "item_j", _r("sim", "sim"))
 
 
 _RATED = _RATINGS + """, st as (select i, count(*) as n, sum(x) as s, sum(x * x) as ss, sum(abs(x)) as sa from t group by 1), m as (select count(distinct u) as m from t),
@@ -480,7 +471,7 @@ def _rating_query(metric: str):
 
     @_query(f"cf_{metric}", _with(_RATED, f" select item_i, item_j, round({sql}, 6) as sim from q") if metric != "chebyshev" else None)
     def _(s, d):
-        return items.rating_similarity(thin(s, d), metric).select("item_i", "item_j", _r("sim", "sim"))
+        return items.rating_similarity(ratings(s, d), metric).select("item_i", "item_j", _r("sim", "sim"))
 
 
 for _metric in _METRICS:
@@ -489,7 +480,7 @@ for _metric in _METRICS:
 
 @_query("cf_top_similar", _with(_SETS, " select item_i, item_j, round(common / (si + sj - common), 6) as sim from q qualify row_number() over (partition by item_i order by common / (si + sj - common) desc, item_j) <= 5"))
 def _(s, d):
-    return items.set_similarity(thin(s, d), "jaccard", k=5).select("item_i", "item_j", _r("sim", "sim"))
+    return items.set_similarity(ratings(s, d), "jaccard", k=5).select("item_i", "item_j", _r("sim", "sim"))
 
 
 _W = "g as (select greatest(user_id, event_id % 150) as i, least(user_id, event_id % 150) as j, sum(value) as w from events where user_id <> event_id % 150 group by 1, 2), ends as (select id, sum(w) as s from (select i as id, w from g union all select j, w from g) group by 1)"
@@ -503,31 +494,31 @@ def _(s, d):
 
 @_query("cf_from_similarity", _with(_SETS, """, sims as (select item_i, item_j, common / (si + sj - common) as sim from q where common >= 2), two as (select item_i, item_j, sim from sims union all select item_j, item_i, sim from sims),
   sc as (select t.u, two.item_j as i, sum(x * pow(sim, 3)) as score from t join two on two.item_i = t.i group by 1, 2)
-  select sc.u as "user", sc.i as item, round(score, 6) as score from sc left join t on t.u = sc.u and t.i = sc.i where t.u is null and score <> 0"""))
+  select sc.u as "user", sc.i as item, round(score, 6) as score from sc left join t on t.u = sc.u and t.i = sc.i where t.u is null and score <> 0 qualify row_number() over (partition by sc.u order by score desc, sc.i) <= 10"""))
 def _(s, d):
-    r = thin(s, d)
-    return items.from_similarity(r, items.set_similarity(r, "jaccard", least_common=2)).select("user", "item", _r("score", "score"))
+    r = ratings(s, d)
+    return items.from_similarity(r, items.set_similarity(r, "jaccard", least_common=2), k=10).select("user", "item", _r("score", "score"))
 
 
 @_query("cf_from_similarity_shifted", _with(_SETS, """, sims as (select item_i, item_j, aa as sim from q where aa <> 0),
   sc as (select t.u, sims.item_j as i, sum(case when sim > 1 then (x - 0.5) / 0.5 * (sim - 1) end) as score from t join sims on sims.item_i = t.i group by 1, 2)
-  select sc.u as "user", sc.i as item, round(score, 5) as score from sc left join t on t.u = sc.u and t.i = sc.i where t.u is null and score <> 0"""))
+  select sc.u as "user", sc.i as item, round(score, 4) as score from sc left join t on t.u = sc.u and t.i = sc.i where t.u is null and score <> 0 qualify row_number() over (partition by sc.u order by score desc, sc.i) <= 10"""))
 def _(s, d):
-    r = thin(s, d)
-    got = items.from_similarity(r, items.set_similarity(r, "adamic_adar"), undirected=False, rule="shifted")
-    return got.select("user", "item", F.round("score", 5).alias("score"))
+    r = ratings(s, d)
+    got = items.from_similarity(r, items.set_similarity(r, "adamic_adar"), undirected=False, rule="shifted", k=10)
+    return got.select("user", "item", F.round("score", 4).alias("score"))
 
 
-_RANKED = _RATINGS + """, lists as (select u, i, x, row_number() over (partition by u order by x desc, i) as k from r), act as (select u, i from r where x >= 40)"""
+_RANKED = _RATINGS + """, lists as (select u, i, x, row_number() over (partition by u order by i) as k from r), act as (select u, i from r where x >= 40)"""
 
 
 def _ranked(s, d):
     r = ratings(s, d)
-    ranked = r.withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("rating"), "item")))
-    return ranked.select("user", "item", "rank"), r.where("rating >= 40 and item % 2 = 0").select("user", "item")
+    ranked = r.withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy("item")))
+    return ranked.select("user", "item", "rank"), r.where("rating >= 40").select("user", "item")
 
 
-_HITS = _RANKED.replace("where x >= 40)", "where x >= 40 and i % 2 = 0)")
+_HITS = _RANKED
 
 
 @_query("cf_map", _with(_HITS, """, h as (select lists.u, k, count(*) over (partition by lists.u order by k) as c from lists join act using (u, i) where k <= 10), n as (select u, count(*) as n from act group by 1), ap as (select n.u, coalesce((select sum(c / k) from h where h.u = n.u), 0) / least(n, 10) as ap from n)
@@ -562,7 +553,7 @@ def _users(found: tuple) -> DataFrame:
 def _als_query(name: str, **options):
     @_query(name)
     def _(s, d):
-        return _users(factors.als(thin(s, d), 3, 2, **options))
+        return _users(factors.als(ratings(s, d), 3, 2, **options))
 
 
 _als_query("cf_als", lam=0.5)
@@ -573,28 +564,28 @@ _als_query("cf_als_sparse", user_kernel=factors.sparse(0.5, 2), item_kernel=fact
 
 @_query("cf_als_weighted")
 def _(s, d):
-    return _users(factors.als(thin(s, d).withColumn("w", F.lit(1.0) + F.col("item") % 3), 3, 2, 0.5, weight="w"))
+    return _users(factors.als(ratings(s, d).withColumn("w", F.lit(1.0) + F.col("item") % 3), 3, 2, 0.5, weight="w"))
 
 
 @_query("cf_pmf")
 def _(s, d):
-    return _users(factors.pmf(thin(s, d), 3, 3, 1))
+    return _users(factors.pmf(ratings(s, d), 3, 3, 1))
 
 
 @_query("cf_als_tensor")
 def _(s, d):
-    return _users(factors.tensor_als(thin(s, d).withColumn("time", F.col("user") % 4), 3, 2))
+    return _users(factors.tensor_als(ratings(s, d).withColumn("time", F.col("user") % 4), 3, 2))
 
 
 @_query("cf_nmf")
 def _(s, d):
-    return _users(factors.nmf(thin(s, d), 3, 4))
+    return _users(factors.nmf(ratings(s, d), 3, 4))
 
 
 def _sgd_query(name: str, scale: float = 50.0, **options):
     @_query(name)
     def _(s, d):
-        r = thin(s, d).withColumn("rating", F.col("rating") / scale)
+        r = ratings(s, d).withColumn("rating", F.col("rating") / scale)
         if options.get("time"):
             r = r.withColumn("time", F.col("user") % 4)
         got = factors.sgd(r, 3, 3, **options)
@@ -610,7 +601,7 @@ _sgd_query("cf_time_svdpp", biased=True, implicit=True, time="time")
 
 
 def _features(s, d) -> DataFrame:
-    rows = _table(s, d, "events").where("event_id % 5 = 0")
+    rows = _table(s, d, "events")
     pairs = F.map_from_entries(F.array(F.struct(F.concat(F.lit("user="), F.col("user_id") % 20), F.lit(1.0)), F.struct(F.concat(F.lit("type="), F.col("event_type")), F.lit(1.0))))
     return rows.select(F.col("event_id").alias("row"), (F.col("value") / 100).alias("target"), pairs.alias("features"))
 
@@ -630,24 +621,24 @@ def _(s, d):
 
 @_query("cf_climf")
 def _(s, d):
-    return _users(factors.climf(thin(s, d), 2, 2, threshold=25.0))
+    return _users(factors.climf(ratings(s, d), 2, 2, threshold=25.0))
 
 
 @_query("cf_rbm")
 def _(s, d):
-    return factors.rbm(thin(s, d).withColumn("rating", F.ceil(F.col("rating") / 10)), 3, 5, 2)[1].select("user", "item", "rating", _r("predicted", "predicted"))
+    return factors.rbm(ratings(s, d).withColumn("rating", F.ceil(F.col("rating") / 10)), 3, 5, 2)[1].select("user", "item", "rating", _r("predicted", "predicted"))
 
 
 @_query("cf_svd")
 def _(s, d):
-    m = thin(s, d).where("user % 10 = 0").select(F.col("user").alias("row"), F.col("item").alias("col"), F.col("rating").alias("value"))
+    m = ratings(s, d).select(F.col("user").alias("row"), F.col("item").alias("col"), F.col("rating").alias("value"))
     values, _, right = factors.svd(m, 2, 6)
     return right.select("k", "id", _r("val", "val"))
 
 
 @_query("cf_multiply", _with(_RATINGS, " select u as id, round(sum(x * i), 3) as val from t group by u"))
 def _(s, d):
-    r = thin(s, d)
+    r = ratings(s, d)
     m = r.select(F.col("user").alias("row"), F.col("item").alias("col"), F.col("rating").alias("value"))
     v = r.select(F.col("item").alias("id")).distinct().withColumn("val", F.col("id").cast("double"))
     return factors.multiply(m, v).select("id", F.round("val", 3).alias("val"))
@@ -656,10 +647,10 @@ def _(s, d):
 _DOT = "list_dot_product(a.embedding::double[], b.embedding::double[])"
 
 
-@_query("cf_recommend", f"with s as (select a.vec_id as \"user\", b.vec_id as item, {_DOT} as score from embeddings a, embeddings b where a.vec_id % 25 = 0 and a.vec_id <> b.vec_id) select \"user\", item, round(score, 6) as score, row_number() over (partition by \"user\" order by score desc, item)::int as rank from s qualify rank <= 5")
+@_query("cf_recommend", f"with s as (select a.vec_id as \"user\", b.vec_id as item, {_DOT} as score from embeddings a, embeddings b where a.vec_id <> b.vec_id) select \"user\", item, round(score, 6) as score, row_number() over (partition by \"user\" order by score desc, item)::int as rank from s qualify rank <= 5")
 def _(s, d):
     e = _table(s, d, "embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("factors"))
-    users = e.where("item % 25 = 0").withColumnRenamed("item", "user")
+    users = e.withColumnRenamed("item", "user")
     return items.recommend(users, e, users.select("user", F.col("user").alias("item")), 5).select("user", "item", _r("score", "score"), "rank")
 
 
@@ -753,10 +744,10 @@ def _(s, d):
     return tables.tweets_per_user(_tweets(s, d))
 
 
-@_query("t_address_pairs", """with x as (select 10 * 16777216 + user_id as a, 192 * 16777216 + event_id % 50 as b, event_type as attr from events where user_id < 256), k as (select v, row_number() over (order by v) - 1 as id from (select a as v from x union select b from x))
+@_query("t_address_pairs", """with x as (select 10 * 16777216::bigint + user_id as a, 192 * 16777216::bigint + event_id % 50 as b, event_type as attr from events), k as (select v, row_number() over (order by v) - 1 as id from (select a as v from x union select b from x))
   select p.id as src, q.id as dst, attr from x join k p on p.v = a join k q on q.v = b""")
 def _(s, d):
-    rows = _table(s, d, "events").select(F.concat(F.lit("10.0.0."), "user_id").alias("src"), F.concat(F.lit("192.0.0."), F.col("event_id") % 50).alias("dst"), F.col("event_type").alias("attr"))
+    rows = _table(s, d, "events").select(F.concat(F.lit("10.0."), F.expr("user_id div 256"), F.lit("."), F.col("user_id") % 256).alias("src"), F.concat(F.lit("192.0.0."), F.col("event_id") % 50).alias("dst"), F.col("event_type").alias("attr"))
     return tables.address_pairs(rows)[0]
 
 

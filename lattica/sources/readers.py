@@ -155,10 +155,12 @@ def matrix_size(spark: SparkSession, path: str) -> tuple[int, int, int] | None:
 
 
 def _coordinates(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a Matrix Market file as arrays, without banner, comments and the size line (the first that is left)."""
-    rows = _numbered(spark, path, comments="%")
-    first = rows.groupBy("file").agg(F.min("number").alias("number"))
-    return rows.join(F.broadcast(first), ["file", "number"], "left_anti").select(F.split("line", r"\s+").alias("p"), "number")  # a row per file
+    """Lines of a Matrix Market file as arrays, without banner, comments and the size line (the first that is left in a file with a banner)."""
+    every = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("number"), F.trim("value").alias("line")).where("line <> ''")
+    comment = F.col("line").startswith("%")
+    first = every.groupBy("file").agg(F.min(F.when(~comment, F.col("number"))).alias("number"), F.max(F.lower("line").startswith("%%matrixmarket")).alias("banner"))
+    rows = every.where(~comment).join(F.broadcast(first.where("banner").drop("banner")), ["file", "number"], "left_anti")  # a row per file
+    return rows.select(F.split("line", r"\s+").alias("p"), "number")
 
 
 def ratings(spark: SparkSession, path: str, fourth: str | None = None, minval: float | None = None, maxval: float | None = None, allow_zeros: bool = False) -> DataFrame:
