@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Pieces that a worker remembers: two generations of so many, of which the older one is dropped when the younger is full.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 800_000
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _RUN = re.compile(r"\s[\s]")
 #: Latin letters that lower-case to one letter and that normalisation leaves alone, then ASCII punctuation but the apostrophe.

@@ -1,16 +1,19 @@
 """Token ids in wavelet-matrix shards.
 
-Format of a shard, all numbers little-endian: magic `WMX1`; u32 planes, u64 tokens, u64 documents; then blocks, each a
-u64 length and that many zstd bytes: document ids (i64 each), token counts (u32 each), zero counts of the planes (u64
-each), and the planes themselves, most significant bit first, eight positions to a byte, lowest bit first.
-
-A plane holds one bit of each id; below it, ids with bit 0 come before those with bit 1, order kept. With counts of
-ones before every 512th position, rank and select take one look-up and a popcount, and from them follow access,
-counting and occurrences without decoding the rest.
+Format of a shard, all numbers little-endian: magic `WMX2`; u32 planes, u64 tokens, u64 documents; then blocks, each a
+u64 length and that many zstd bytes: document ids (i64 each), token counts (u32 each), the ids that occur (ascending,
+u32 each), how often each occurs (u64 each), zero counts of the planes (u64 each), and the planes themselves, eight
+positions to a byte, lowest bit first.
+
+The matrix is Huffman-shaped (Claude, Navarro, Ordonez 2015): plane k holds bit k of the codes that are longer than k;
+below it, ids with bit 0 come before those with bit 1, order kept, and the ids whose code ends there lie last and go.
+Codes follow from the counts. With counts of ones before every 512th position, rank and select take one look-up and a
+popcount, and from them follow access, counting and occurrences without decoding the rest.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,42 +27,96 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._spark import partitions, stored
-from .tokens import Encoder
+from .tokens import encoder
 
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
 #: Tokens after which a shard is closed (it ends with a whole document).
 SHARD_TOKENS = 2 << 20
 _WORD = 512
 
 
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Huffman code length of each symbol; a lone symbol has 1. Ties go by symbol, so lengths follow from counts."""
+    if len(counts) <= 1:
+        return np.ones(len(counts), dtype=np.int64)
+    heap = [(int(c), k) for k, c in enumerate(counts)]
+    heapq.heapify(heap)
+    parent = np.zeros(2 * len(counts) - 1, dtype=np.int64)
+    for node in range(len(counts), 2 * len(counts) - 1):
+        a, x = heapq.heappop(heap)
+        b, y = heapq.heappop(heap)
+        parent[x] = parent[y] = node
+        heapq.heappush(heap, (a + b, node))
+    depth = np.zeros(len(parent), dtype=np.int64)
+    for node in range(len(parent) - 2, -1, -1):
+        depth[node] = depth[parent[node]] + 1
+    return depth[: len(counts)]
+
+
+class _Shape:
+    """Codes such that, level by level, the symbols that end come last: of the nodes in the order of the level, the last become leaves."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts, self.lengths = counts.astype(np.int64), code_lengths(counts)
+        self.levels = int(self.lengths.max(initial=0))
+        self.codes = np.zeros(len(counts), dtype=np.uint64)
+        #: symbols that end after each level, in the order in which they lie
+        self.ending: list[np.ndarray] = []
+        nodes = np.zeros(1, dtype=np.uint64)  # prefixes, bit k of the code is bit k of the number
+        for level in range(self.levels):
+            nodes = np.concatenate([nodes, nodes | np.uint64(1 << level)])
+            ends = np.flatnonzero(self.lengths == level + 1)
+            keep = len(nodes) - len(ends)
+            self.codes[ends] = nodes[keep:]
+            self.ending.append(ends)
+            nodes = nodes[:keep]
+        self.ended = [int(self.counts[e].sum()) for e in self.ending]
+
+
 class WaveletMatrix:
-    """One shard: `ids` of documents laid end to end, `doc_ids` and `lengths` their bounds."""
+    """One shard: ids of documents laid end to end; doc_ids and lengths hold their bounds, alphabet the ids that occur."""
 
-    def __init__(self, planes: list[np.ndarray], zeros: np.ndarray, n: int, doc_ids: np.ndarray, lengths: np.ndarray):
-        self.planes, self.zeros, self.n, self.doc_ids, self.lengths = planes, zeros, n, doc_ids, lengths
+    def __init__(self, planes: list[np.ndarray], zeros: np.ndarray, n: int, doc_ids: np.ndarray, lengths: np.ndarray, alphabet: np.ndarray, counts: np.ndarray):
+        self.planes, self.zeros, self.n, self.doc_ids, self.lengths, self.alphabet, self.counts = planes, zeros, n, doc_ids, lengths, alphabet, counts
+        self._shape = _Shape(counts)
         self._ones: list[np.ndarray] | None = None
+        #: positions that each plane has
+        self.sizes = [n - sum(self._shape.ended[:k]) for k in range(self._shape.levels)]
 
     @classmethod
     def build(cls, ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> WaveletMatrix:
         ids = np.asarray(ids, dtype=np.uint32)
-        bits = max(1, int(ids.max(initial=0)).bit_length())
-        kind = np.uint16 if bits <= 16 else np.uint32
-        ids = ids.astype(kind)
-        planes, zeros = [], np.zeros(bits, dtype=np.uint64)
-        for k in range(bits):
-            bit = (ids >> kind(bits - 1 - k)) & kind(1)
-            planes.append(np.packbits(bit.astype(np.uint8), bitorder="little"))
-            one = bit.astype(bool)
-            low = ids[~one]
+        dense = not len(ids) or int(ids.max()) < 1 << 24
+        if dense:
+            every = np.bincount(ids)
+            alphabet = np.flatnonzero(every).astype(np.uint32)
+            counts = every[alphabet]
+        else:
+            alphabet, counts = np.unique(ids, return_counts=True)
+        shape = _Shape(counts)
+        kind = np.uint16 if len(alphabet) <= 1 << 16 else np.uint32
+        if dense:
+            table = np.zeros(len(every), dtype=kind)
+            table[alphabet] = np.arange(len(alphabet), dtype=kind)
+            symbols = table[ids]
+        else:
+            symbols = np.searchsorted(alphabet, ids).astype(kind)
+        planes, zeros = [], np.zeros(shape.levels, dtype=np.uint64)
+        for k in range(shape.levels):
+            one = ((shape.codes >> np.uint64(k)) & np.uint64(1)).astype(bool)[symbols]
+            planes.append(np.packbits(one, bitorder="little"))
+            low = symbols.take(np.flatnonzero(~one))  # far faster than masks, as bits are near even
             zeros[k] = len(low)
-            ids = np.concatenate([low, ids[one]])
-        return cls(planes, zeros, len(ids), np.asarray(doc_ids, dtype=np.int64), np.asarray(lengths, dtype=np.uint32))
+            left = len(symbols) - shape.ended[k]
+            symbols = np.concatenate([low, symbols.take(np.flatnonzero(one)[: left - len(low)])]) if left > len(low) else low[:left]
+        return cls(planes, zeros, len(ids), np.asarray(doc_ids, dtype=np.int64), np.asarray(lengths, dtype=np.uint32), alphabet, counts)
 
     def to_bytes(self) -> bytes:
         pack = zstandard.ZstdCompressor(level=1).compress
-        blocks = [self.doc_ids.astype("<i8").tobytes(), self.lengths.astype("<u4").tobytes(), self.zeros.astype("<u8").tobytes(), *(p.tobytes() for p in self.planes)]
+        arrays = [(self.doc_ids, "<i8"), (self.lengths, "<u4"), (self.alphabet, "<u4"), (self.counts, "<u8"), (self.zeros, "<u8"), *((p, "u1") for p in self.planes)]
         out = [MAGIC, struct.pack("<IQQ", len(self.planes), self.n, len(self.doc_ids))]
-        for block in map(pack, blocks):
+        for values, kind in arrays:
+            block = pack(values.astype(kind).tobytes())
             out += [struct.pack("<Q", len(block)), block]
         return b"".join(out)
 
@@ -67,22 +124,22 @@ class WaveletMatrix:
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet-matrix shard")
-        bits, n, _ = struct.unpack_from("<IQQ", data, 4)
+        levels, n, _ = struct.unpack_from("<IQQ", data, 4)
         at, blocks, unpack = 4 + struct.calcsize("<IQQ"), [], zstandard.ZstdDecompressor().decompress
-        for _ in range(3 + bits):
+        for kind in ("<i8", "<u4", "<u4", "<u8", "<u8", *["u1"] * levels):
             (size,) = struct.unpack_from("<Q", data, at)
-            blocks.append(unpack(data[at + 8 : at + 8 + size]))
+            blocks.append(np.frombuffer(unpack(data[at + 8 : at + 8 + size]), dtype=kind))
             at += 8 + size
-        ids, lengths, zeros, *planes = (np.frombuffer(b, dtype=t) for b, t in zip(blocks, ["<i8", "<u4", "<u8", *["u1"] * bits]))
-        return cls(list(planes), zeros, n, ids, lengths)
+        ids, lengths, alphabet, counts, zeros, *planes = blocks
+        return cls(list(planes), zeros, n, ids, lengths, alphabet, counts)
 
     # rank and select
 
     def _counts(self, k: int) -> np.ndarray:
         if self._ones is None:
             self._ones = []
-            for plane in self.planes:
-                padded = np.zeros(-(-(self.n + 1) // _WORD) * _WORD // 8, dtype=np.uint8)
+            for plane, size in zip(self.planes, self.sizes):
+                padded = np.zeros(-(-(size + 1) // _WORD) * _WORD // 8, dtype=np.uint8)
                 padded[: len(plane)] = plane
                 ones = np.bitwise_count(padded).reshape(-1, _WORD // 8).sum(1)
                 self._ones.append(np.concatenate([[0], np.cumsum(ones)]))
@@ -105,7 +162,7 @@ class WaveletMatrix:
     def _select(self, k: int, bit: int, nth: int) -> int:
         """Position of the nth (from 0) such bit in plane k."""
         counts = self._counts(k)
-        before = counts if bit else np.minimum(np.arange(len(counts)) * _WORD, self.n) - counts
+        before = counts if bit else np.minimum(np.arange(len(counts)) * _WORD, self.sizes[k]) - counts
         block = int(np.searchsorted(before, nth, side="right")) - 1
         part = np.unpackbits(self.planes[k][block * _WORD // 8 : (block + 1) * _WORD // 8], bitorder="little")
         return block * _WORD + int(np.flatnonzero(part == bit)[nth - int(before[block])])
@@ -114,20 +171,26 @@ class WaveletMatrix:
         """The id at position i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        value = 0
         for k in range(len(self.planes)):
-            bit, ones = self._bit(k, i), self._rank(k, i)
-            value = value << 1 | bit
-            i = int(self.zeros[k]) + ones if bit else i - ones
-        return value
-
-    def _range(self, token: int, begin: int, end: int) -> tuple[int, int]:
-        bits = len(self.planes)
-        if token >> bits:
-            return 0, 0
-        for k in range(bits):
+            ones = self._rank(k, i)
+            i = int(self.zeros[k]) + ones if self._bit(k, i) else i - ones
+            left = self.sizes[k] - self._shape.ended[k]
+            if i >= left:
+                ends = self._shape.ending[k]
+                return int(self.alphabet[ends[np.searchsorted(np.cumsum(self._shape.counts[ends]), i - left, side="right")]])
+        raise AssertionError("a code has no end")
+
+    def _symbol(self, token: int) -> int:
+        """An id's place in the alphabet; -1 if it does not occur."""
+        at = int(np.searchsorted(self.alphabet, token))
+        return at if at < len(self.alphabet) and self.alphabet[at] == token else -1
+
+    def _range(self, symbol: int, begin: int, end: int) -> tuple[int, int]:
+        """Where the symbol's occurrences in positions begin to end lie below its last plane."""
+        code = int(self._shape.codes[symbol])
+        for k in range(int(self._shape.lengths[symbol])):
             low, high = self._rank(k, begin), self._rank(k, end)
-            if token >> (bits - 1 - k) & 1:
+            if code >> k & 1:
                 begin, end = int(self.zeros[k]) + low, int(self.zeros[k]) + high
             else:
                 begin, end = begin - low, end - high
@@ -135,17 +198,21 @@ class WaveletMatrix:
 
     def count(self, token: int, begin: int = 0, end: int | None = None) -> int:
         """How often an id occurs in positions begin to end."""
-        a, b = self._range(token, begin, self.n if end is None else end)
+        symbol = self._symbol(token)
+        if symbol < 0:
+            return 0
+        a, b = self._range(symbol, begin, self.n if end is None else end)
         return b - a
 
     def locate(self, token: int, nth: int) -> int:
         """Position of the nth (from 0) occurrence of an id; IndexError if there are fewer."""
-        a, b = self._range(token, 0, self.n)
-        if not 0 <= nth < b - a:
+        symbol = self._symbol(token)
+        if symbol < 0 or not 0 <= nth < self._shape.counts[symbol]:
             raise IndexError(nth)
-        i, bits = a + nth, len(self.planes)
-        for k in reversed(range(bits)):
-            bit = token >> (bits - 1 - k) & 1
+        i = self._range(symbol, 0, self.n)[0] + nth
+        code = int(self._shape.codes[symbol])
+        for k in reversed(range(int(self._shape.lengths[symbol]))):
+            bit = code >> k & 1
             i = self._select(k, bit, i - int(self.zeros[k]) if bit else i)
         return i
 
@@ -154,20 +221,22 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids."""
-        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
-        values = np.zeros(self.n, dtype=kind)
+        kind = np.uint16 if len(self.alphabet) and self.alphabet[-1] < 1 << 16 else np.uint32
+        alphabet, values = self.alphabet.astype(kind), np.zeros(0, dtype=kind)
         for k in reversed(range(len(self.planes))):
-            one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
-            above, zeros = np.empty(self.n, dtype=kind), int(self.zeros[k])
-            above[~one] = values[:zeros]
-            above[one] = values[zeros:] | kind(1 << (len(self.planes) - 1 - k))
-            values = above
+            ends = self._shape.ending[k]
+            below = np.concatenate([values, np.repeat(alphabet[ends], self._shape.counts[ends])])
+            one = np.unpackbits(self.planes[k], count=self.sizes[k], bitorder="little").view(bool)
+            values = np.empty(self.sizes[k], dtype=kind)
+            zeros = int(self.zeros[k])
+            values[np.flatnonzero(~one)] = below[:zeros]
+            values[np.flatnonzero(one)] = below[zeros:]
         return values.astype("<u4")
 
 
 def _write(path: str, keeps_space: bool, end_id: int, shard_tokens: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path, keeps_space), np.array([end_id], dtype="<u4").tobytes()
+        codec, end = encoder(path, keeps_space), np.array([end_id], dtype="<u4").tobytes()
         part, seq, docs, sizes, ids, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def shard() -> pa.RecordBatch:
@@ -179,7 +248,7 @@ def _write(path: str, keeps_space: bool, end_id: int, shard_tokens: int):
 
         for frame in frames:
             for doc, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
-                got = encoder.encode(text) + end
+                got = codec.encode(text) + end
                 docs.append(doc)
                 sizes.append(len(got) // 4)
                 ids.append(got)
