@@ -204,3 +204,19 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
     heads = classes.join(near, "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("class_component"))
     out = profile.select("doc_id", "n_shingles", "set_key").join(heads, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id")).alias("component_id"))
+
+
+def oracle(num: int, den: int, width: int) -> str:
+    """The same rows in DuckDB's SQL, by joining all shingles."""
+    shingle = " || ' ' || ".join(f"ws[i + {k}]" for k in range(width))
+    return f"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, list_distinct(case when len(ws) = 0 then []::varchar[] when len(ws) < {width} then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - {width - 2}), lambda i: {shingle}) end) as ss from w),
+e as (select doc_id, unnest(ss) as g from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join s x on x.doc_id = a join s y on y.doc_id = b where {den} * c >= {num} * (len(x.ss) + len(y.ss) - c)),
+two as (select a, b from l union select b, a from l),
+reach(id, other) as (select a, a from two union select r.id, two.b from reach r join two on two.a = r.other),
+near as (select id, min(other) as component from reach group by id)
+select doc_id, len(ss)::bigint as n_shingles, coalesce(component, doc_id) as component_id from s left join near on id = doc_id
+"""

@@ -170,3 +170,48 @@ def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, columns as they are. A row without doc_id goes, as no verdict can be traced to it; rows that repeat a doc_id stay if any of them is kept."""
     good = judge(docs).where("kept").select("doc_id").distinct()
     return docs.join(small_or_not(good), "doc_id", "left_semi").select(*docs.columns)
+
+
+def oracle() -> str:
+    """The rows of judge() but d2 in DuckDB's SQL: the same statistics, groups, buckets and concentration steps."""
+    k = len(_NAMES)
+    ctes = [
+        r"""w as (select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents)""",
+        """win as (select r, unnest(range(1, len(ws) - 1)) as i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) as g from w where len(ws) > 2)""",
+        """hit as (select r, i from win qualify count(*) over (partition by r, g) > 1)""",
+        """rep as (select r, count(distinct i + d)::bigint as n from hit, (values (0), (1), (2)) x(d) group by r)""",
+        r"""st as (select r, doc_id, lang, source, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+          (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::bigint as n_dup_lines from w)""",
+        f"""s as (select st.*, coalesce(rep.n, 0) as n_repeat_words, n_words < {LEAST_WORDS} or 100 * coalesce(rep.n, 0) > {MOST_REPEATED} * n_words as base_failed from st left join rep using (r))""",
+        """v as (select r, lang, source, ln(n_words::double) as x0, ln(word_chars / n_words::double) as x1, sqrt(n_symbols / n_words::double) as x2, sqrt(n_repeat_words / n_words::double) as x3 from s where not base_failed)""",
+        """pairs as (select lang, source, count(*) as n from v group by all)""",
+        f"""pools as (select lang, sum(n) as n from pairs where n < {LEAST_GROUP} group by lang)""",
+        f"""gs as (select pairs.lang, pairs.source, case when pairs.n >= {LEAST_GROUP} then ['pair', pairs.lang, pairs.source] when pools.n >= {LEAST_GROUP} then ['pool', pairs.lang] else ['rest'] end as g from pairs left join pools on pools.lang is not distinct from pairs.lang)""",
+        "x as (select r, g, x0, x1, x2, x3 from v join gs on gs.lang is not distinct from v.lang and gs.source is not distinct from v.source)",
+    ]
+    for j in range(k):
+        ctes.append(f"""b{j} as (select g, bucket, sum(count(*)) over (partition by g order by bucket) as upto, sum(count(*)) over (partition by g) as total from (select g, floor(x{j} * {_STEP}) as bucket from x) group by g, bucket),
+          m{j} as (select g, (min(bucket) + 0.5) / {_STEP} as m from b{j} where upto >= 0.5 * total group by g)""")
+    ctes.append(f"e0 as (select m0.g, {', '.join(f'm{j}.m as m{j}' for j in range(k))} from m0 {' '.join(f'join m{j} on m{j}.g is not distinct from m0.g' for j in range(1, k))})")
+    floors = list(FLOORS.values())
+    for step in range(STEPS + 1):
+        if step == 0:
+            distance = " + ".join(f"((x{j} - m{j}) / {floors[j]}) * ((x{j} - m{j}) / {floors[j]})" for j in range(k))
+            ctes.append(f"d0 as (select x.*, {distance} as d2 from x join e0 on e0.g = x.g)")
+        else:
+            cs = [f"covar_pop(x{i}, x{j}) * {_consistency()!r}{f' + {floors[i] ** 2!r}' if i == j else ''} as c{i}{j}" for i in range(k) for j in range(i + 1)]
+            ctes.append(f"""q{step} as (select g, bucket, sum(count(*)) over (partition by g order by bucket) as upto, sum(count(*)) over (partition by g) as total from (select g, floor(ln(d2 + 1e-6) * {_STEP}) as bucket from d{step - 1}) group by g, bucket),
+              t{step} as (select g, min(bucket) as edge from q{step} where upto >= {H} * total group by g),
+              e{step} as (select d.g, {', '.join(f'avg(x{j}) as m{j}' for j in range(k))}, {', '.join(cs)} from d{step - 1} d join t{step} t on t.g = d.g where floor(ln(d2 + 1e-6) * {_STEP}) <= edge group by d.g)""")
+            source = f"e{step}"
+            for i in range(k):
+                for j in range(i + 1):
+                    value = f"c{i}{j}" + "".join(f" - l{i}{m} * l{j}{m}" for m in range(j))
+                    ctes.append(f"f{step}{i}{j} as (select *, {f'sqrt({value})' if i == j else f'({value}) / l{j}{j}'} as l{i}{j} from {source})")
+                    source = f"f{step}{i}{j}"
+            columns = "x.r, x.g, x.x0, x.x1, x.x2, x.x3"
+            ctes.append(f"y{step}0 as (select {columns}, f.* exclude (g), (x0 - m0) / l00 as y0 from x join {source} f on f.g = x.g)")
+            for i in range(1, k):
+                ctes.append(f"y{step}{i} as (select *, (x{i} - m{i}{''.join(f' - l{i}{j} * y{j}' for j in range(i))}) / l{i}{i} as y{i} from y{step}{i - 1})")
+            ctes.append(f"d{step} as (select r, g, x0, x1, x2, x3, {' + '.join(f'y{i} * y{i}' for i in range(k))} as d2 from y{step}{k - 1})")
+    return f"with {', '.join(ctes)} select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(d2, 0) <= {CUT} as kept from s left join d{STEPS} using (r)"

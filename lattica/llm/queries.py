@@ -73,4 +73,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     mixed = mixing.ORACLE.replace("select doc_id, sized.source, size,", "select doc_id, size,")
-    return {"op10_source_mixing": mixed}
+    return {"op5_ngram_jaccard_join": ngram_join.oracle(85, 100, 4), "op9_robust_outliers": outliers.oracle(), "op10_source_mixing": mixed}

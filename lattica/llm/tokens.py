@@ -15,7 +15,8 @@ from array import array
 import numpy as np
 
 #: Pieces that a worker remembers: two generations of so many, of which the older one is dropped when the younger is full.
-CACHE_PIECES = 800_000
+#: Pieces of tokenizers that lower-case are fewer. An entry takes about 200 bytes, and idle workers keep theirs.
+CACHE_PIECES = {True: 800_000, False: 300_000}
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _RUN = re.compile(r"\s[\s]")
 #: Latin letters that lower-case to one letter and that normalisation leaves alone, then ASCII punctuation but the apostrophe.
@@ -46,8 +47,9 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         self._keeps_space = keeps_space
-        self._first = _Pieces(tokenizer, "", not keeps_space)
-        self._later = _Pieces(tokenizer, " ", False) if keeps_space else self._first
+        most = CACHE_PIECES[keeps_space]
+        self._first = _Pieces(tokenizer, "", not keeps_space, most)
+        self._later = _Pieces(tokenizer, " ", False, most) if keeps_space else self._first
         self._feed = self._first["\n"]
 
     def encode(self, text: str | None) -> bytes:
@@ -78,16 +80,16 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
 class _Pieces(dict):
     """Ids of pieces that follow `lead`; lower says that the tokenizer lower-cases."""
 
-    def __init__(self, tokenizer, lead: str, lower: bool):
+    def __init__(self, tokenizer, lead: str, lower: bool, most: int):
         super().__init__()
-        self._tokenizer, self._lead, self._lower = tokenizer, lead, lower
+        self._tokenizer, self._lead, self._lower, self._most = tokenizer, lead, lower, most
         self._model = tokenizer.model
         self._older: dict[str, bytes] = {}
         self._marks: dict[str, bytes] = {"": b""}
         self._head = "".join(_LETTERS[b] for b in lead.encode())
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
+        if len(self) >= self._most:
             self._older = dict(self)
             self.clear()
         found = self._older.get(piece)
