@@ -24,6 +24,7 @@ _SCOPE = frozenset(("ul", "ol", "menu", "dl", "table", "article", "section", "di
 _NOT_ARTICLE = frozenset(("nav", "footer", "aside", "form", "button", "menu", "dialog", "label", "input", "audio", "video", "map"))
 _NOT_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "status"))
 _NOT_NAMES = frozenset(("ad", "ads", "adv", "advert", "adverts", "advertisement", "adsense", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "footnotes", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pager", "pagination", "popup", "promo", "promoted", "promotion", "related", "recommended", "replies", "respond", "share", "sharing", "sidebar", "sidenav", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola", "toolbar", "topbar", "widget"))
+_OF_PAGE = frozenset(("has", "with", "no", "without", "layout", "page", "container", "wrapper", "template", "theme"))
 _KEPT = frozenset(("html", "body", "article", "main"))
 _SCORES = {"article": 25.0, "main": 15.0, "section": 4.0, "div": 5.0, "blockquote": 3.0, "td": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "form": -3.0, "th": -5.0}
 _PARAGRAPHS = frozenset(("p", "pre", "td", "blockquote", "div", "section", "article", "main", "li", "dd", "body"))
@@ -51,6 +52,15 @@ class _Node:
         self.in_list = tag in ("ul", "ol") or (parent is not None and parent.in_list)
 
 
+def _names_other(word: str) -> bool:
+    """Whether a class name or id says so: one of its parts does, but not as in has-sidebar or sidebar-layout."""
+    parts = [x.lower() for x in _NAME.findall(word)]
+    for k, part in enumerate(parts):
+        if part in _NOT_NAMES and not (k and parts[k - 1] in _OF_PAGE) and not (k + 1 < len(parts) and parts[k + 1] in _OF_PAGE):
+            return True
+    return False
+
+
 def _marked(tag: str, attrs: str, inside_article: bool) -> bool:
     """Whether the tag, its role or its names say that it is not the article."""
     if tag in _NOT_ARTICLE or tag == "header" and not inside_article:
@@ -63,7 +73,7 @@ def _marked(tag: str, attrs: str, inside_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in _NOT_ROLES:
             return True
-        if name in ("class", "id") and any(x.lower() in _NOT_NAMES for x in _NAME.findall(value)):
+        if name in ("class", "id") and any(_names_other(word) for word in value.split()):
             return True
     return False
 
@@ -145,7 +155,9 @@ def _blocks(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
             continue
         if tag == "body":
             close(1)
-        dropped = stack[-1].dropped or _marked(tag, m["attrs"], articles > 0)
+        outer = next((x for x in reversed(stack) if x.dropped and not x.parent.dropped), None)
+        around = stack[-1].dropped and not (tag in ("article", "main") and outer is not None and outer.tag == "form")  # a form may wrap a page
+        dropped = around or _marked(tag, m["attrs"], articles > 0)
         node = _Node(tag, stack[-1], dropped, len(nodes))
         nodes.append(node)
         if not m["attrs"].endswith("/") or tag not in ("a", "p", "div", "span"):

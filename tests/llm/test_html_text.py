@@ -13,6 +13,8 @@ P = "A paragraph of the article, with commas, and with enough words to score, as
     (f"<article><p>{P}</p><p>1 < 2 and 3 > 2</p></article>", f"{P}\n\n1 < 2 and 3 > 2"),
     (f"<article><ul><li><a href=a>one two</a></li><li><a href=b>three four</a></li></ul><p>{P}</p></article>", P),
     (f"<article><p>{P}</p></article><div hidden><p>{P}</p></div><div role=alert><p>{P}</p></div>", P),
+    (f'<form id="page"><p>Menu text here, of the form, which is dropped</p><article><p>{P}</p></article></form>', P),
+    (f'<div class="layout has-sidebar"><div class="content"><p>{P}</p></div><div class="left-sidebar"><p>{P} no</p></div></div>', P),
     ("<article></article>", ""), ("<p>unclosed <b>tags <i>everywhere", "unclosed tags everywhere"), ("<" * 50, "<" * 50),
 ])
 def test_pages(page, text):
