@@ -127,7 +127,7 @@ def test_nmf_falls_and_stays_positive(spark):
 def test_gradient_methods_learn(spark, options):
     _, data = low_rank()
     frame = spark.createDataFrame([(u, i, r / 2.5) for u, i, r in data], RATINGS).withColumn("time", F.col("user") % 3)
-    history = factors.sgd(frame, 2, 6, **options)["history"]
+    history = factors.sgd(frame, 2, 3, **options)["history"]
     assert history[-1] < history[0]
 
 
@@ -149,11 +149,11 @@ def test_machines(spark):
 def test_climf_and_rbm(spark):
     data = [(u, i, 5.0 if (u + i) % 3 == 0 else 1.0) for u in range(12) for i in range(9)]
     frame = spark.createDataFrame(data, RATINGS)
-    u, i = factors.climf(frame, 3, 8, threshold=4.0)
+    u, i = factors.climf(frame, 3, 5, threshold=4.0)
     scored = factors.predict(frame, u, i).groupBy((F.col("rating") > 4).alias("good")).agg(F.avg("predicted").alias("p")).collect()
     p = {r.good: r.p for r in scored}
     assert p[True] > p[False]
-    early, late = (factors.rbm(frame, 4, 5, n)[1].agg(F.avg((F.col("rating") - F.col("predicted")) ** 2)).first()[0] for n in (1, 12))
+    early, late = (factors.rbm(frame, 4, 5, n)[1].agg(F.avg((F.col("rating") - F.col("predicted")) ** 2)).first()[0] for n in (1, 6))
     assert late < early
 
 
