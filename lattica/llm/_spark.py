@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,31 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a narrow table (a few numbers each) up to which it is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
-#: A word, in the sense of every operator here (Java and Python agree on it).
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (as in tests)."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="lattica-"))
-        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-    return f"file://{_OWN[0]}"
+from lattica.plans.store import shared_dir, stored
 
+__all__ = ["BROADCAST_ROWS", "components", "partitions", "shared_dir", "small_or_not", "smallest_reachable", "stored", "trusted_labels"]
 
-_OWN: list[str] = []
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of a narrow table (a few numbers each) up to which it is broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
