@@ -23,7 +23,7 @@ _SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th
 _SCOPE = frozenset(("ul", "ol", "menu", "dl", "table", "article", "section", "div", "body", "main"))
 _NOT_ARTICLE = frozenset(("nav", "footer", "aside", "form", "button", "menu", "dialog", "label", "input", "audio", "video", "map"))
 _NOT_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "status"))
-_NOT_NAMES = frozenset(("ad", "ads", "adv", "advert", "adverts", "advertisement", "adsense", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "footnotes", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pager", "pagination", "popup", "promo", "promoted", "promotion", "related", "recommended", "replies", "respond", "share", "sharing", "sidebar", "sidenav", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola", "toolbar", "topbar", "widget"))
+_NOT_NAMES = frozenset(("ad", "adbox", "ads", "adsense", "adv", "advert", "advertisement", "advertising", "adverts", "alert", "announcement", "banner", "breadcrumb", "breadcrumbs", "comment", "commentarea", "commentlist", "comments", "consent", "cookie", "cookiebanner", "cookiebar", "cookienotice", "cookies", "disclaimer", "discussion", "disqus", "feedback", "footer", "footnotes", "gdpr", "header", "login", "mainmenu", "masthead", "menu", "modal", "nav", "navbar", "navigation", "navmenu", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pagefooter", "pageheader", "pager", "pagination", "popup", "promo", "promoted", "promotion", "reactions", "recommended", "related", "replies", "respond", "responses", "reviews", "share", "sharing", "sidebar", "sidenav", "signup", "sitefooter", "siteheader", "skip", "social", "sponsor", "sponsored", "sponsors", "submenu", "subnav", "subscribe", "subscribebox", "subscription", "taboola", "toolbar", "topbar", "topnav", "widget"))
 _OF_PAGE = frozenset(("has", "with", "no", "without", "layout", "page", "container", "wrapper", "template", "theme"))
 _KEPT = frozenset(("html", "body", "article", "main"))
 _SCORES = {"article": 25.0, "main": 15.0, "section": 4.0, "div": 5.0, "blockquote": 3.0, "td": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "form": -3.0, "th": -5.0}
