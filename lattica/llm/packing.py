@@ -1,9 +1,13 @@
 """Packing documents into windows of tokens by lexical retrieval.
 
-Documents are dealt to shards by a hash. A shard builds a BM25 inverted index of its documents' token ids, from whole
-documents; a seed document asks it, by its rarest ids, for neighbours not used yet, and those fill the rest of its
-window, nearest first. The document that meets the window's end is cut there, and its rest seeds the next window, so
-windows are full. A shard's last tokens become sequences whose lengths are powers of two, which need no padding.
+Documents are dealt to shards by content: a tree of halving planes, fitted to a sample of the documents' projected
+weights, sends documents that share ids to one shard of about SHARD_DOCS. A shard builds a BM25 inverted index of its
+documents' token ids, from whole documents and with the document frequencies of the whole table; a seed document asks
+it, by all of its ids, for neighbours not used yet, and those fill the rest of its window, nearest first. The document
+that meets the window's end is cut there, and its rest seeds the next window, so windows are full. A shard's last tokens
+become sequences whose lengths are powers of two, which need no padding.
+
+A seed sees its own shard only; the README has the measured share of true neighbours that lie there.
 """
 
 from __future__ import annotations
@@ -17,62 +21,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import partitions
+from ._spark import partitions, stored
 from .tokens import encoder
 
 WINDOW = 2048
 #: Documents of a shard, about.
 SHARD_DOCS = 2048
-#: A query asks by so many of its document's ids, those with the largest weights.
-TERMS = 24
+#: Coordinates of a projected document, and how many documents of the sample that places the planes fall to a shard.
+DIMS, SAMPLE = 64, 32
+#: Weight of a document's dice in its distance from a plane: planes can cut groups of copies.
+_JITTER = 1e-4
 K1, B = 1.2, 0.75
 
 
+class Corpus:
+    """What shards know of the whole table: n documents, their mean length, and by term number the idf."""
+
+    def __init__(self, n: int, tokens: int, terms: np.ndarray, df: np.ndarray):
+        self.n, self.mean = n, tokens / max(1, n)
+        self.idf = np.zeros(int(terms.max(initial=0)) + 1)
+        self.idf[terms] = np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+    def directions(self) -> np.ndarray:
+        """A random direction for each term number."""
+        return np.random.default_rng(0).standard_normal((len(self.idf), DIMS), dtype=np.float32)
+
+    def sketch(self, document: np.ndarray, directions: np.ndarray) -> np.ndarray:
+        """The document's weights, projected, at length 1."""
+        terms, counts = np.unique(document, return_counts=True)
+        v = (self.idf[terms] * (1 + np.log(counts))) @ directions[terms]
+        return v / max(float(np.sqrt(v @ v)), 1e-12)
+
+
+class Planes:
+    """A tree of planes that cuts the space of sketches into shards of nearly equal shares of the points it is built from."""
+
+    def __init__(self, points: np.ndarray, dice: np.ndarray, shards: int):
+        self.normal, self.edge, self.below, self.above = [], [], [], []
+        waiting, given = [(np.arange(len(points)), shards, None, 0)], 0
+        while waiting:
+            rows, share, side, parent = waiting.pop()
+            if share == 1:
+                node, given = -1 - given, given + 1
+            else:
+                node, x = len(self.edge), points[rows]
+                normal = np.linalg.eigh(np.cov(x, rowvar=False, bias=True))[1][:, -1] if len(rows) else np.zeros(DIMS)
+                at = x @ normal + _JITTER * dice[rows]
+                edge = float(np.quantile(at, share // 2 / share)) if len(rows) else 0.0
+                self.normal.append(normal), self.edge.append(edge), self.below.append(0), self.above.append(0)
+                waiting += [(rows[at <= edge], share // 2, self.below, node), (rows[at > edge], share - share // 2, self.above, node)]
+            if side is not None:
+                side[parent] = node
+        self.normal, self.edge, self.below, self.above = np.array(self.normal), np.array(self.edge), np.array(self.below), np.array(self.above)
+
+    def shards(self, points: np.ndarray, dice: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(points), dtype=np.int64)
+        while (inner := np.flatnonzero(node >= 0)).size:
+            at = node[inner]
+            low = np.einsum("ij,ij->i", points[inner], self.normal[at]) + _JITTER * dice[inner] <= self.edge[at]
+            node[inner] = np.where(low, self.below[at], self.above[at])
+        return -1 - node
+
+
 class Index:
-    """BM25 over the documents of one shard; documents are arrays of term numbers."""
+    """BM25 over the documents of one shard; documents are arrays of term numbers. corpus: see Corpus; without it the shard is the corpus."""
 
-    def __init__(self, documents: list[np.ndarray], k1: float = K1, b: float = B):
+    def __init__(self, documents: list[np.ndarray], k1: float = K1, b: float = B, corpus: Corpus | None = None):
         n = len(documents)
         lengths = np.array([len(d) for d in documents], dtype=np.int64)
-        terms = np.concatenate([*documents, np.zeros(0, dtype=np.uint32)]).astype(np.int64)
-        owner = np.repeat(np.arange(n), lengths)
-        pairs, counts = np.unique(terms * n + owner, return_counts=True)
-        term, self.documents = pairs // max(n, 1), pairs % max(n, 1)
+        found = [np.unique(d, return_counts=True) for d in documents]
+        term = np.concatenate([*(t for t, _ in found), np.zeros(0, dtype=np.uint32)]).astype(np.int64)
+        counts = np.concatenate([*(c for _, c in found), np.zeros(0, dtype=np.int64)])
+        self.first = np.cumsum([0, *(len(t) for t, _ in found)])
+        by_term = np.argsort(term, kind="stable")
+        term, counts, self.documents = term[by_term], counts[by_term], np.repeat(np.arange(n), np.diff(self.first))[by_term]
         fresh = np.ones(len(term), dtype=bool)
         fresh[1:] = term[1:] != term[:-1]
         self.start = np.append(np.flatnonzero(fresh), len(term))
         df = np.diff(self.start)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        norm = k1 * (1 - b + b * lengths / max(1.0, lengths.mean() if n else 1.0))
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5)) if corpus is None else corpus.idf[term[fresh]]
+        mean = (lengths.mean() if n else 1.0) if corpus is None else corpus.mean
+        norm = k1 * (1 - b + b * lengths / max(1.0, mean))
         place = np.repeat(np.arange(len(df)), df)
         self.weights = idf[place] * counts * (k1 + 1) / (counts + norm[self.documents])
-        by_doc = np.argsort(self.documents, kind="stable")
-        self.term_of, self.weight_of = place[by_doc], self.weights[by_doc]
-        self.first = np.searchsorted(self.documents[by_doc], np.arange(n + 1))
+        self.term_of = np.empty(len(term), dtype=np.int64)
+        self.term_of[by_term] = place
+        self.rows = {}
+        for t in np.flatnonzero(df * 8 > n):  # as many as 8 documents have terms, at most
+            row = np.zeros(n)
+            row[self.documents[self.start[t] : self.start[t + 1]]] = self.weights[self.start[t] : self.start[t + 1]]
+            self.rows[int(t)] = row
         self.df, self.n = df, n
 
-    def neighbours(self, seed: int, used: np.ndarray, most: int = TERMS) -> np.ndarray:
-        """Unused documents that share one of the seed's best terms, by falling BM25 score, ties by number."""
-        a, b = self.first[seed], self.first[seed + 1]
-        terms, weights = self.term_of[a:b], self.weight_of[a:b]
-        shared = self.df[terms] > 1
-        terms, weights = terms[shared], weights[shared]
-        if len(terms) > most:
-            terms = terms[np.argpartition(-weights, most)[:most]]
+    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
+        """Unused documents that share one of the seed's terms, by falling BM25 score, ties by number."""
+        terms = self.term_of[self.first[seed] : self.first[seed + 1]]
+        terms = terms[self.df[terms] > 1]
         if not len(terms):
             return np.zeros(0, dtype=np.int64)
-        length = self.df[terms]
-        at = np.repeat(self.start[terms] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-        score = np.bincount(self.documents[at], weights=self.weights[at], minlength=self.n)
+        score, rows, start = np.zeros(self.n), self.rows, self.start
+        for t in terms.tolist():
+            row = rows.get(t)
+            if row is not None:
+                np.add(score, row, out=score)
+            else:
+                score[self.documents[start[t] : start[t + 1]]] += self.weights[start[t] : start[t + 1]]
         score[used] = 0
         score[seed] = 0
         found = np.flatnonzero(score > 0)
         return found[np.lexsort((found, -np.round(score[found], 9)))]
 
 
-def pack(documents: list[np.ndarray], window: int = WINDOW, most: int = TERMS) -> list[tuple[int, int, int, int, int]]:
+def pack(documents: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one shard, every token in one piece, sequences gapless."""
-    index, used = Index(documents, K1, B), np.zeros(len(documents), dtype=bool)
+    index, used = Index(documents, K1, B, corpus), np.zeros(len(documents), dtype=bool)
     pieces: list[tuple[int, int, int]] = []
     fill, waiting, following = 0, iter(()), 0
     while True:
@@ -93,7 +155,7 @@ def pack(documents: list[np.ndarray], window: int = WINDOW, most: int = TERMS) -
             done, fill = done + take, (fill + take) % window
             fresh = fresh or fill == 0 or fill == take  # it starts a window, or its rest does
         if fresh and fill:
-            waiting = iter(index.neighbours(document, used, most))
+            waiting = iter(index.neighbours(document, used))
     total = sum(n for *_, n in pieces)
     ends = list(range(window, total + 1, window))  # full windows, then powers of two
     rest, at = total - (ends[-1] if ends else 0), ends[-1] if ends else 0
@@ -112,15 +174,67 @@ def pack(documents: list[np.ndarray], window: int = WINDOW, most: int = TERMS) -
     return out
 
 
-def _pack(tokenizer: str, end_id: int, window: int, with_ids: bool):
+def _encode(tokenizer: str, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(tokenizer, False)
+        for frame in frames:
+            for at in range(0, frame.num_rows, 512):
+                part = frame.slice(at, 512)
+                ids = pa.array([codec.encode(text) + end for text in part.column(2).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], ["doc_id", "tie", "ids"])
+
+    return run
+
+
+def _numbers(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(h, dtype="<u4") for h in column.to_pylist()]
+
+
+def _frequencies(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document frequencies of a partition's terms; the row of term -1 has its documents and tokens."""
+    df, n, tokens = np.zeros(0, dtype=np.int64), 0, 0
+    for frame in frames:
+        for document in _numbers(frame.column(0)):
+            terms = np.unique(document)
+            if terms[-1] >= len(df):
+                df = np.concatenate([df, np.zeros(int(terms[-1]) + 1 - len(df), dtype=np.int64)])
+            df[terms] += 1
+            n, tokens = n + 1, tokens + len(document)
+    terms = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array([-1, *terms.tolist()], pa.int64()), pa.array([n, *df[terms].tolist()], pa.int64()), pa.array([tokens] + [0] * len(terms), pa.int64())], ["term", "n", "tokens"])
+
+
+def _sketches(corpus):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = corpus.value
+        directions = known.directions()
+        for frame in frames:
+            points = [known.sketch(d, directions).tolist() for d in _numbers(frame.column(1))]
+            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(points, pa.list_(pa.float64()))], ["dice", "point"])
+
+    return run
+
+
+def _place(corpus, planes):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = corpus.value
+        directions = known.directions()
+        for frame in frames:
+            points = np.array([known.sketch(d, directions) for d in _numbers(frame.column(2))]).reshape(-1, DIMS)
+            shard = planes.value.shards(points, frame.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), frame.column(0), frame.column(1), frame.column(2)], ["shard", "doc_id", "tie", "ids"])
+
+    return run
+
+
+def _pack(corpus, window: int, with_ids: bool):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, docs, held = None, [], []
 
         def rows() -> pa.RecordBatch:
-            out = pack([np.frombuffer(h, dtype="<u4") for h in held], window)
+            out = pack([np.frombuffer(h, dtype="<u4") for h in held], window, corpus.value)
             long = lambda values: pa.array(list(values), pa.int64())
             columns = [
                 pa.array([docs[d] for d, *_ in out], pa.int64()), long(s for _, s, *_ in out), long(n for _, _, n, *_ in out),
@@ -134,13 +248,13 @@ def _pack(tokenizer: str, end_id: int, window: int, with_ids: bool):
             return pa.RecordBatch.from_arrays(columns, names)
 
         for frame in frames:
-            for number, doc, text in zip(*(frame.column(k).to_pylist() for k in range(3))):
+            for number, doc, ids in zip(*(frame.column(k).to_pylist() for k in range(3))):
                 if number != shard and held:
                     yield rows()
                     docs, held = [], []
                 shard = number
                 docs.append(doc)
-                held.append(codec.encode(text) + end)
+                held.append(ids)
         if held:
             yield rows()
 
@@ -156,9 +270,24 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = W
     of doc_id within a shard, so the result is the same for the same rows in the same files.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.monotonically_increasing_id())
-    shards = max(1, -(-docs.count() // shard_docs))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(shards)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("tie"), "text")
+    rows = stored(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, tie long, ids binary"), "encoded")
+    # one row a term of the tokenizer: bounded by its vocabulary
+    counts = rows.select("ids").mapInArrow(_frequencies, "term long, n long, tokens long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).toArrow()
+    term, number, tokens = (counts[k].to_numpy() for k in ("term", "n", "tokens"))
+    known = Corpus(int(number[term < 0].sum()), int(tokens.sum()), term[term >= 0], number[term >= 0])
+    corpus, shards = spark.sparkContext.broadcast(known), max(1, -(-known.n // shard_docs))
+    if shards == 1:
+        rows = rows.select(F.lit(0).cast("long").alias("shard"), "doc_id", "tie", "ids")
+    else:
+        rows = rows.withColumn("dice", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(1 << 30)) / (1 << 30))
+        part = max(1, min(known.n // (SAMPLE * shards), known.n // 4096))
+        sample = rows.where(F.pmod(F.xxhash64("tie", "doc_id"), F.lit(part)) == 0).select("dice", "ids")
+        sample = sample.mapInArrow(_sketches(corpus), "dice double, point array<double>").toArrow()
+        points, dice = np.array(sample["point"].to_pylist()).reshape(-1, DIMS), sample["dice"].to_numpy()
+        order = np.lexsort((*points.T, dice))  # sums do not depend on the order in which rows come
+        planes = spark.sparkContext.broadcast(Planes(points[order], dice[order], shards))
+        rows = rows.select("doc_id", "tie", "ids", "dice").mapInArrow(_place(corpus, planes), "shard long, doc_id long, tie long, ids binary")
     rows = rows.repartition(max(1, min(partitions(spark), shards)), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "tie")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else "")
-    return rows.select("shard", "doc_id", "text").mapInArrow(_pack(tokenizer, end_id, window, with_ids), schema)
+    return rows.select("shard", "doc_id", "ids").mapInArrow(_pack(corpus, window, with_ids), schema)

@@ -126,3 +126,28 @@ def test_packing_of_odd_rows(spark):
     assert sum(held.values()) == sum(len(whole(t)) + 1 for _, t, *_ in ODD)
     assert all(n == 2048 or n & (n - 1) == 0 for n in held.values())
     assert packing.pack_documents(docs(spark, []), tokenizer(WORD), 1).count() == 0
+
+
+def test_related_documents_share_a_shard(spark):
+    draw = random.Random(4)
+    words = [[f"{a}{b}{c}" for a in x for b in "aeiou" for c in "lmnrst"] for x in ("bc", "df", "gh", "jk")]
+    rows = [(k, " ".join(draw.choice(words[k % 4]) for _ in range(40)), "en", "a") for k in range(400)]
+    shards = {}
+    for r in packing.pack_documents(docs(spark, rows), tokenizer(WORD), 1, shard_docs=100).collect():
+        shards.setdefault(r.sequence_id >> 32, set()).add(r.doc_id)
+    assert len(shards) == 4 and sum(map(len, shards.values())) == 400
+    assert sum(max(sum(d % 4 == t for d in s) for t in range(4)) for s in shards.values()) > 300
+
+
+def test_copies_are_cut_into_even_shards():
+    point = np.ones((1000, packing.DIMS))
+    shards = packing.Planes(point[:200], np.linspace(0, 1, 200), 5).shards(point, np.random.default_rng(3).random(1000))
+    assert sorted(set(shards.tolist())) == [0, 1, 2, 3, 4] and np.bincount(shards).max() < 300
+
+
+def test_seeds_ask_by_all_terms_and_the_frequencies_of_the_corpus():
+    documents = [np.arange(60, dtype=np.uint32)] + [np.array([k, 100 + k], dtype=np.uint32) for k in range(60)]
+    assert len(packing.Index(documents).neighbours(0, np.zeros(61, dtype=bool))) == 60
+    corpus = packing.Corpus(1000, 2000, np.array([0, 1, 2]), np.array([900, 3, 3]))
+    documents = [np.array(x, dtype=np.uint32) for x in ([0, 1], [0, 2], [1, 2], [1, 2])]
+    assert packing.Index(documents, corpus=corpus).neighbours(0, np.zeros(4, dtype=bool)).tolist() == [2, 3, 1]
