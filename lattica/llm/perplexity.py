@@ -25,10 +25,8 @@ SYMBOLS, ORDER = 64, 4
 _START = 63
 #: Trusted documents whose crc32(doc_id) is this modulo FOLDS calibrate; the model is trained on the others.
 FOLDS, HELD = 5, 0
-#: The bound on the logarithm of the perplexity: the upper quantile plus MARGIN times its distance from the median.
-UPPER, MARGIN = 0.99, 2.0
-#: A text's entropy is judged as if it had so many more symbols of the median entropy: a few words say little.
-PRIOR = 60
+#: The bound on the logarithm of the perplexity: this quantile of the held-out documents of the language.
+UPPER = 0.99
 #: Languages with fewer held-out documents take the bound of all languages together.
 LEAST_HELD = 30
 
@@ -198,13 +196,9 @@ def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_or_not(ids.where(~held)), "doc_id")
     scored = stored(score(docs, train(learn.select("text"))), "scored")
     quiet = scored.join(small_or_not(ids.where(held)), "doc_id").where("entropy is not null")
-    spread = [F.percentile_approx("entropy", F.lit([0.5, UPPER]), 10_000).alias("q"), F.count("*").alias("n")]
-    bound = (F.col("q")[1] + MARGIN * (F.col("q")[1] - F.col("q")[0])).alias("its_bound")
-    middle = F.col("q")[0].alias("its_middle")
-    by_lang = quiet.groupBy(F.col("lang").alias("its_lang")).agg(*spread).where(F.col("n") >= LEAST_HELD).select("its_lang", bound, middle)
-    overall = quiet.agg(*spread).select(bound, middle).first()
+    spread = [F.percentile_approx("entropy", F.lit(UPPER), 10_000).alias("its_bound"), F.count("*").alias("n")]
+    by_lang = quiet.groupBy(F.col("lang").alias("its_lang")).agg(*spread).where(F.col("n") >= LEAST_HELD).select("its_lang", "its_bound")
+    overall = quiet.agg(*spread).first()["its_bound"]
     rows = scored.join(small_or_not(stored(by_lang, "bounds")), F.col("lang").eqNullSafe(F.col("its_lang")), "left")
-    edge = F.coalesce("its_bound", F.lit(math.inf if overall[0] is None else overall[0]))
-    center = F.coalesce("its_middle", F.lit(0.0 if overall[1] is None else overall[1]))
-    judged = (F.col("entropy") * F.col("symbols") + PRIOR * center) / (F.col("symbols") + PRIOR)
-    return rows.select("doc_id", "lang", F.exp("entropy").alias("perplexity"), F.exp(edge).alias("bound"), F.coalesce(judged <= edge, F.lit(False)).alias("kept"))
+    edge = F.coalesce("its_bound", F.lit(math.inf if overall is None else overall))
+    return rows.select("doc_id", "lang", F.exp("entropy").alias("perplexity"), F.exp(edge).alias("bound"), F.coalesce(F.col("entropy") <= edge, F.lit(False)).alias("kept"))

@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -83,3 +84,12 @@ def test_classify(spark):
     none = P.classify(docs(spark, ODD), spark.createDataFrame([], "doc_id long")).collect()
     assert len(none) == len(ODD) and all(r.kept == (r.perplexity is not None) for r in none)
     assert P.classify(docs(spark, []), trusted).count() == 0
+
+
+def test_short_junk_is_judged_at_the_plain_quantile(spark):
+    good = corpus(400)
+    junk = ["$#@! ZXQ&*", "Zq$#! X&", "%%|<>Q"]
+    rows = [(k, t, "en", "s") for k, t in enumerate(good + junk)]
+    got = {r.doc_id: r for r in P.classify(docs(spark, rows), spark.createDataFrame([(k,) for k in range(400)], "doc_id long")).collect()}
+    held = sorted(got[k].perplexity for k in range(400) if zlib.crc32(str(k).encode()) % P.FOLDS == P.HELD)
+    assert held[-3] <= got[0].bound <= held[-1] and not any(got[400 + k].kept for k in range(3))
