@@ -770,7 +770,7 @@ def _(s, d):
 @_query("t_topics")
 def _(s, d):
     lines = _table(s, d, "documents").select(F.col("doc_id").alias("line"), "text")
-    return models.topics(lines, k=4, passes=3, vocabulary=200)[0].select("topic", "rank", "token")
+    return models.topics(lines)[0].select("topic", "rank", "token")
 
 
 @_query("t_click_model")

@@ -49,3 +49,15 @@ def test_the_entry_module_stands_alone():
     import __spark_entry__
 
     assert set(queries.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_topics_use_the_whole_vocabulary(spark, monkeypatch):
+    from pyspark.ml.clustering import LDA
+
+    from lattica.operators.tables import token_counts
+
+    fit, seen = LDA.fit, []
+    monkeypatch.setattr(LDA, "fit", lambda self, rows: seen.append((self.getK(), self.getMaxIter(), rows.first().features.size)) or fit(self, rows))
+    assert queries.QUERIES["t_topics"](spark, SF).count() == 20 * 10
+    lines = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id as line", "text")
+    assert seen == [(20, 10, token_counts(lines).select("token").distinct().count())]
