@@ -18,8 +18,8 @@ BROADCAST_ROWS = 1_000_000
 
 
 def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count proves that it is small; else df, so that a join with it shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df, a stored table, with a broadcast hint if a count proves that it is small; else df, so that a join with it shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,11 +1,11 @@
 """Packing documents into windows of tokens by lexical retrieval.
 
-Documents are dealt to shards by content: a tree of halving planes, fitted to a sample of the documents' projected
-weights, sends documents that share ids to one shard of about SHARD_DOCS. A shard builds a BM25 inverted index of its
-documents' token ids, from whole documents and with the document frequencies of the whole table; a seed document asks
-it, by all of its ids, for neighbours not used yet, and those fill the rest of its window, nearest first. The document
-that meets the window's end is cut there, and its rest seeds the next window, so windows are full. A shard's last tokens
-become sequences whose lengths are powers of two, which need no padding.
+Documents are dealt to shards by content: a tree of halving planes, fitted to a bounded sample of the documents'
+projected weights, sends documents that share ids to one shard of about SHARD_DOCS documents and SHARD_TOKENS ids. A
+shard builds a BM25 inverted index of its documents' token ids, from whole documents and with the document frequencies
+of the whole table; a seed document asks it, by all of its ids, for neighbours not used yet, and those fill the rest of
+its window, nearest first. The document that meets the window's end is cut there, and its rest seeds the next window, so
+windows are full. A shard's last tokens become sequences whose lengths are powers of two, which need no padding.
 
 A seed sees its own shard only; the README has the measured share of true neighbours that lie there.
 """
@@ -21,17 +21,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import partitions, stored
-from .tokens import encoder
+from ._spark import stored
+from .tokens import encoder, vocabulary
 
 WINDOW = 2048
-#: Documents of a shard, about.
-SHARD_DOCS = 2048
-#: Coordinates of a projected document, and how many documents of the sample that places the planes fall to a shard.
+#: Documents and ids of a shard, about.
+SHARD_DOCS, SHARD_TOKENS = 2048, 4 << 20
+#: Coordinates of a projected document, and how many documents of the sample that places the planes fall to a cell.
 DIMS, SAMPLE = 64, 32
+#: The planes cut so many cells at most, which bounds the sample; where there are more shards, the signs of random
+#: projections about a cell's middle cut the cell.
+MOST_CELLS = 8192
 #: Weight of a document's dice in its distance from a plane: planes can cut groups of copies.
 _JITTER = 1e-4
 K1, B = 1.2, 0.75
+#: A term is common in a shard if one of so many documents has it; documents up to which their scores are one product;
+#: neighbours that are put in order at first.
+_COMMON, _WHOLE, _FIRST = 16, 4096, 32
+#: Tasks that pack shards, at most; a task takes its shards one after the other.
+MOST_TASKS = 20_000
 
 
 class Corpus:
@@ -54,33 +62,46 @@ class Corpus:
 
 
 class Planes:
-    """A tree of planes that cuts the space of sketches into shards of nearly equal shares of the points it is built from."""
+    """A tree of planes that cuts the space of sketches into cells of nearly equal shares of the load of the points it is built from; cuts: bits by which a cell is cut further."""
 
-    def __init__(self, points: np.ndarray, dice: np.ndarray, shards: int):
-        self.normal, self.edge, self.below, self.above = [], [], [], []
-        waiting, given = [(np.arange(len(points)), shards, None, 0)], 0
+    def __init__(self, points: np.ndarray, dice: np.ndarray, load: np.ndarray, cells: int, cuts: int = 0):
+        normal, edge, below, above, self.middle, self.spread = [], [], [], [], [], []
+        waiting, self.cuts = [(np.arange(len(points)), cells, None, 0)], cuts
         while waiting:
             rows, share, side, parent = waiting.pop()
+            x = points[rows]
             if share == 1:
-                node, given = -1 - given, given + 1
+                node = -1 - len(self.middle)
+                self.middle.append(x.mean(0) if len(rows) else np.zeros(DIMS))
+                self.spread.append(float(np.sqrt(x.var(0).sum())) if len(rows) else 0.0)
             else:
-                node, x = len(self.edge), points[rows]
-                normal = np.linalg.eigh(np.cov(x, rowvar=False, bias=True))[1][:, -1] if len(rows) else np.zeros(DIMS)
-                at = x @ normal + _JITTER * dice[rows]
-                edge = float(np.quantile(at, share // 2 / share)) if len(rows) else 0.0
-                self.normal.append(normal), self.edge.append(edge), self.below.append(0), self.above.append(0)
-                waiting += [(rows[at <= edge], share // 2, self.below, node), (rows[at > edge], share - share // 2, self.above, node)]
+                node = len(edge)
+                line = np.linalg.eigh(np.cov(x, rowvar=False, bias=True))[1][:, -1] if len(rows) else np.zeros(DIMS)
+                at = x @ line + _JITTER * dice[rows]
+                up = np.argsort(at, kind="stable")
+                upto = np.cumsum(load[rows][up])
+                bound = float(at[up[min(len(up) - 1, np.searchsorted(upto, share // 2 / share * upto[-1]))]]) if len(rows) else 0.0
+                normal.append(line), edge.append(bound), below.append(0), above.append(0)
+                waiting += [(rows[at <= bound], share // 2, below, node), (rows[at > bound], share - share // 2, above, node)]
             if side is not None:
                 side[parent] = node
-        self.normal, self.edge, self.below, self.above = np.array(self.normal), np.array(self.edge), np.array(self.below), np.array(self.above)
+        self.normal, self.edge, self.below, self.above = np.array(normal), np.array(edge), np.array(below), np.array(above)
+        self.middle, self.spread = np.array(self.middle), np.array(self.spread)
 
     def shards(self, points: np.ndarray, dice: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(points), dtype=np.int64)
+        node = np.full(len(points), 0 if len(self.edge) else -1, dtype=np.int64)
         while (inner := np.flatnonzero(node >= 0)).size:
             at = node[inner]
             low = np.einsum("ij,ij->i", points[inner], self.normal[at]) + _JITTER * dice[inner] <= self.edge[at]
             node[inner] = np.where(low, self.below[at], self.above[at])
-        return -1 - node
+        cell = -1 - node
+        if not self.cuts:
+            return cell
+        lines = np.random.default_rng(1).standard_normal((DIMS, self.cuts))
+        signs = (points - self.middle[cell]) @ lines > 0
+        code = signs @ (1 << np.arange(self.cuts))
+        copies = self.spread[cell] < 1e-6  # no line cuts a cell of copies
+        return (cell << self.cuts) + np.where(copies, (np.modf(dice * 1024)[0] * (1 << self.cuts)).astype(np.int64), code)
 
 
 class Index:
@@ -106,30 +127,34 @@ class Index:
         self.weights = idf[place] * counts * (k1 + 1) / (counts + norm[self.documents])
         self.term_of = np.empty(len(term), dtype=np.int64)
         self.term_of[by_term] = place
-        self.rows = {}
-        for t in np.flatnonzero(df * 8 > n):  # as many as 8 documents have terms, at most
-            row = np.zeros(n)
-            row[self.documents[self.start[t] : self.start[t + 1]]] = self.weights[self.start[t] : self.start[t + 1]]
-            self.rows[int(t)] = row
+        # as many as _COMMON documents have terms are common, at most; their part of all scores is one product, or a row of it
+        common = np.flatnonzero(df * _COMMON > n)
+        self.rare = np.ones(len(df), dtype=bool)
+        self.rare[common] = False
+        number = np.cumsum(~self.rare) - 1
+        inner = ~self.rare[place]
+        table = np.zeros((len(common), n), dtype=np.float32)
+        table[number[place[inner]], self.documents[inner]] = self.weights[inner]
+        self._table, self._has = table, (table.T > 0).astype(np.float32)
+        self._scores = self._has @ table if n <= _WHOLE else None
         self.df, self.n = df, n
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
         """Unused documents that share one of the seed's terms, by falling BM25 score, ties by number."""
+        score = (self._scores[seed] if self._scores is not None else self._has[seed] @ self._table).astype(np.float64)
         terms = self.term_of[self.first[seed] : self.first[seed + 1]]
-        terms = terms[self.df[terms] > 1]
-        if not len(terms):
-            return np.zeros(0, dtype=np.int64)
-        score, rows, start = np.zeros(self.n), self.rows, self.start
-        for t in terms.tolist():
-            row = rows.get(t)
-            if row is not None:
-                np.add(score, row, out=score)
-            else:
-                score[self.documents[start[t] : start[t + 1]]] += self.weights[start[t] : start[t + 1]]
+        terms = terms[self.rare[terms] & (self.df[terms] > 1)]
+        documents, weights, start = self.documents, self.weights, self.start
+        for a, b in zip(start[terms].tolist(), start[terms + 1].tolist()):
+            score[documents[a:b]] += weights[a:b]
         score[used] = 0
         score[seed] = 0
-        found = np.flatnonzero(score > 0)
-        return found[np.lexsort((found, -np.round(score[found], 9)))]
+        score = np.round(score, 5)
+        most = min(_FIRST, self.n)
+        best = np.argpartition(-score, most - 1)[:most]
+        edge = score[best].min()
+        for found in (np.flatnonzero((score > edge) & (score > 0)), np.flatnonzero((score <= edge) & (score > 0))):
+            yield from found[np.lexsort((found, -score[found]))].tolist()
 
 
 def pack(documents: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -138,7 +163,7 @@ def pack(documents: list[np.ndarray], window: int = WINDOW, corpus: Corpus | Non
     pieces: list[tuple[int, int, int]] = []
     fill, waiting, following = 0, iter(()), 0
     while True:
-        document = next((int(x) for x in waiting if not used[x]), None)
+        document = next((x for x in waiting if not used[x]), None)
         if document is None:
             while following < len(documents) and used[following]:
                 following += 1
@@ -155,7 +180,7 @@ def pack(documents: list[np.ndarray], window: int = WINDOW, corpus: Corpus | Non
             done, fill = done + take, (fill + take) % window
             fresh = fresh or fill == 0 or fill == take  # it starts a window, or its rest does
         if fresh and fill:
-            waiting = iter(index.neighbours(document, used))
+            waiting = index.neighbours(document, used)
     total = sum(n for *_, n in pieces)
     ends = list(range(window, total + 1, window))  # full windows, then powers of two
     rest, at = total - (ends[-1] if ends else 0), ends[-1] if ends else 0
@@ -174,76 +199,85 @@ def pack(documents: list[np.ndarray], window: int = WINDOW, corpus: Corpus | Non
     return out
 
 
-def _encode(tokenizer: str, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
+def _encode(tokenizer: str, end_id: int, width: int):
+    """Documents as ids of `width` bytes; a partition's last row has the document frequencies of its terms, its documents and its ids."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = encoder(tokenizer, False)
+        codec, df, n, tokens = encoder(tokenizer, False), np.zeros(0, dtype=np.int64), 0, 0
         for frame in frames:
-            for at in range(0, frame.num_rows, 512):
-                part = frame.slice(at, 512)
-                ids = pa.array([codec.encode(text) + end for text in part.column(2).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], ["doc_id", "tie", "ids"])
+            at = 0
+            for size, ids, bounds in codec.batches(frame.column(2), end_id):
+                if int(ids.max()) >= len(df):
+                    df = np.concatenate([df, np.zeros(int(ids.max()) + 1 - len(df), dtype=np.int64)])
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    df[np.unique(ids[a:b])] += 1
+                n, tokens = n + size, tokens + len(ids)
+                data = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(ids.astype(f"<u{width}"))])
+                yield pa.RecordBatch.from_arrays([frame.column(0).slice(at, size), frame.column(1).slice(at, size), data, pa.nulls(size, pa.binary())], ["doc_id", "tie", "ids", "counts"])
+                at += size
+        terms = np.flatnonzero(df)
+        counts = np.concatenate([[-1], terms, [n], df[terms], [tokens], np.zeros(len(terms), dtype=np.int64)]).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())], ["doc_id", "tie", "ids", "counts"])
 
     return run
 
 
-def _numbers(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(h, dtype="<u4") for h in column.to_pylist()]
+def _numbers(column: pa.Array, width: int) -> list[np.ndarray]:
+    return [np.frombuffer(h, dtype=f"<u{width}") for h in column.to_pylist()]
 
 
 def _frequencies(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document frequencies of a partition's terms; the row of term -1 has its documents and tokens."""
-    df, n, tokens = np.zeros(0, dtype=np.int64), 0, 0
+    """term, n, tokens of packed counts; the row of term -1 has documents and ids."""
     for frame in frames:
-        for document in _numbers(frame.column(0)):
-            terms = np.unique(document)
-            if terms[-1] >= len(df):
-                df = np.concatenate([df, np.zeros(int(terms[-1]) + 1 - len(df), dtype=np.int64)])
-            df[terms] += 1
-            n, tokens = n + 1, tokens + len(document)
-    terms = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array([-1, *terms.tolist()], pa.int64()), pa.array([n, *df[terms].tolist()], pa.int64()), pa.array([tokens] + [0] * len(terms), pa.int64())], ["term", "n", "tokens"])
+        for data in frame.column(0).to_pylist():
+            rows = np.frombuffer(data, dtype="<i8").reshape(3, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["term", "n", "tokens"])
+
+
+def _load(ids: np.ndarray) -> float:
+    """A document's share of a shard."""
+    return 1 / SHARD_DOCS + len(ids) / SHARD_TOKENS
 
 
-def _sketches(corpus):
+def _sketches(corpus, width: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = corpus.value
         directions = known.directions()
         for frame in frames:
-            points = [known.sketch(d, directions).tolist() for d in _numbers(frame.column(1))]
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(points, pa.list_(pa.float64()))], ["dice", "point"])
+            documents = _numbers(frame.column(1), width)
+            points = [known.sketch(d, directions).tolist() for d in documents]
+            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(points, pa.list_(pa.float64())), pa.array([_load(d) for d in documents])], ["dice", "point", "load"])
 
     return run
 
 
-def _place(corpus, planes):
+def _place(corpus, planes, width: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = corpus.value
         directions = known.directions()
         for frame in frames:
-            points = np.array([known.sketch(d, directions) for d in _numbers(frame.column(2))]).reshape(-1, DIMS)
+            points = np.array([known.sketch(d, directions) for d in _numbers(frame.column(2), width)]).reshape(-1, DIMS)
             shard = planes.value.shards(points, frame.column(3).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), frame.column(0), frame.column(1), frame.column(2)], ["shard", "doc_id", "tie", "ids"])
 
     return run
 
 
-def _pack(corpus, window: int, with_ids: bool):
+def _pack(corpus, window: int, width: int, with_ids: bool):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, docs, held = None, [], []
 
         def rows() -> pa.RecordBatch:
-            out = pack([np.frombuffer(h, dtype="<u4") for h in held], window, corpus.value)
+            out = pack(held, window, corpus.value)
             long = lambda values: pa.array(list(values), pa.int64())
             columns = [
                 pa.array([docs[d] for d, *_ in out], pa.int64()), long(s for _, s, *_ in out), long(n for _, _, n, *_ in out),
-                long(zlib.crc32(memoryview(held[d])[4 * s : 4 * (s + n)]) for d, s, n, *_ in out), long(len(held[d]) // 4 for d, *_ in out),
+                long(zlib.crc32(held[d][s : s + n]) for d, s, n, *_ in out), long(len(held[d]) for d, *_ in out),
                 long((shard << 32) + q for *_, q, _ in out), long(o for *_, o in out),
             ]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if with_ids:
-                columns.append(pa.array([held[d][4 * s : 4 * (s + n)] for d, s, n, *_ in out], pa.binary()))
+                columns.append(pa.array([held[d][s : s + n].tobytes() for d, s, n, *_ in out], pa.binary()))
                 names.append("ids")
             return pa.RecordBatch.from_arrays(columns, names)
 
@@ -254,7 +288,7 @@ def _pack(corpus, window: int, with_ids: bool):
                     docs, held = [], []
                 shard = number
                 docs.append(doc)
-                held.append(ids)
+                held.append(np.frombuffer(ids, dtype=f"<u{width}").astype("<u4"))
         if held:
             yield rows()
 
@@ -270,24 +304,29 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = W
     of doc_id within a shard, so the result is the same for the same rows in the same files.
     """
     spark = docs.sparkSession
+    width = 2 if max(vocabulary(tokenizer), end_id + 1) <= 1 << 16 else 4
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("tie"), "text")
-    rows = stored(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, tie long, ids binary"), "encoded")
+    encoded = stored(rows.mapInArrow(_encode(tokenizer, end_id, width), "doc_id long, tie long, ids binary, counts binary"), "encoded")
     # one row a term of the tokenizer: bounded by its vocabulary
-    counts = rows.select("ids").mapInArrow(_frequencies, "term long, n long, tokens long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).toArrow()
+    counts = encoded.where("counts is not null").select("counts").mapInArrow(_frequencies, "term long, n long, tokens long")
+    counts = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).toArrow()
     term, number, tokens = (counts[k].to_numpy() for k in ("term", "n", "tokens"))
     known = Corpus(int(number[term < 0].sum()), int(tokens.sum()), term[term >= 0], number[term >= 0])
-    corpus, shards = spark.sparkContext.broadcast(known), max(1, -(-known.n // shard_docs))
+    rows, corpus = encoded.where("ids is not null").select("doc_id", "tie", "ids"), spark.sparkContext.broadcast(known)
+    shards = max(1, -(-known.n // shard_docs), -(-int(tokens.sum()) // SHARD_TOKENS))
     if shards == 1:
         rows = rows.select(F.lit(0).cast("long").alias("shard"), "doc_id", "tie", "ids")
     else:
+        cuts = max(0, (-(-shards // MOST_CELLS) - 1).bit_length())
+        cells = -(-shards // (1 << cuts))
         rows = rows.withColumn("dice", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(1 << 30)) / (1 << 30))
-        part = max(1, min(known.n // (SAMPLE * shards), known.n // 4096))
+        part = max(1, min(known.n // (SAMPLE * cells), known.n // 4096))
         sample = rows.where(F.pmod(F.xxhash64("tie", "doc_id"), F.lit(part)) == 0).select("dice", "ids")
-        sample = sample.mapInArrow(_sketches(corpus), "dice double, point array<double>").toArrow()
-        points, dice = np.array(sample["point"].to_pylist()).reshape(-1, DIMS), sample["dice"].to_numpy()
+        sample = sample.mapInArrow(_sketches(corpus, width), "dice double, point array<double>, load double").toArrow()
+        points, dice, load = np.array(sample["point"].to_pylist()).reshape(-1, DIMS), sample["dice"].to_numpy(), sample["load"].to_numpy()
         order = np.lexsort((*points.T, dice))  # sums do not depend on the order in which rows come
-        planes = spark.sparkContext.broadcast(Planes(points[order], dice[order], shards))
-        rows = rows.select("doc_id", "tie", "ids", "dice").mapInArrow(_place(corpus, planes), "shard long, doc_id long, tie long, ids binary")
-    rows = rows.repartition(max(1, min(partitions(spark), shards)), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "tie")
+        planes = spark.sparkContext.broadcast(Planes(points[order], dice[order], load[order], cells, cuts))
+        rows = rows.select("doc_id", "tie", "ids", "dice").mapInArrow(_place(corpus, planes, width), "shard long, doc_id long, tie long, ids binary")
+    rows = rows.repartition(max(1, min(MOST_TASKS, shards)), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "tie")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if with_ids else "")
-    return rows.select("shard", "doc_id", "ids").mapInArrow(_pack(corpus, window, with_ids), schema)
+    return rows.select("shard", "doc_id", "ids").mapInArrow(_pack(corpus, window, width, with_ids), schema)

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lattica.llm import packing, wavelet
@@ -24,10 +25,28 @@ def plain(name):
 @pytest.mark.parametrize("name, keeps_space", [(BYTE, True), (WORD, False)])
 def test_pieces_equal_whole_texts(name, keeps_space):
     draw, encoder, whole = random.Random(5), Encoder(tokenizer(name), keeps_space), plain(name)
-    parts = ["a", "Bc", " ", " ", "\n", "\t", "'s", "é", "́", "\xa0", "\x1c", "1", "!", "日", "  ", "\x85", "ẞ", "İ", "<|endoftext|>", "the"]
+    parts = ["a", "Bc", " ", " ", "\n", "\t", "'s", "é", "́", "\xa0", "\x1c", "1", "!", "日", "  ", "\x85", "ẞ", "İ", "<|endoftext|>", "the", "H\u0331", ", ", ".\n", ")", "?! "]
     texts = ["", " ", "a  b", "x\n\ny", "x \n y", "\nx", "x\n", "don't 'll", "İSTANBUL"] + ["".join(draw.choice(parts) for _ in range(draw.randint(1, 25))) for _ in range(1500)]
     for text in texts:
         assert encoder.encode(text) == whole(text).tobytes(), repr(text)
+    texts += [None, "word " * 40]
+    at = 0
+    for size, ids, bounds in encoder.batches(pa.array(texts), 7):
+        for k, text in enumerate(texts[at : at + size]):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == [*whole(text), 7], repr(text)
+        at += size
+    assert at == len(texts)
+
+
+@pytest.mark.parametrize("name, keeps_space", [(BYTE, True), (WORD, False)])
+def test_special_tokens_as_the_library_reads_them(name, keeps_space):
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(tokenizer(name)), Encoder(tokenizer(name), keeps_space, special=True)
+    texts = ["<|endoftext|>", "a b <|endoftext|> c", "a\n<|endoftext|>\n", "<|startoftext|>x", "no special text here"]
+    (_, ids, bounds), = encoder.batches(pa.array(texts), 1)
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
 
 
 def test_wavelet_operations():
@@ -53,7 +72,7 @@ def test_wavelet_operations():
 def test_wavelet_round_trip(spark, shard_tokens):
     whole, start = plain(BYTE), 0
     got = sorted(map(tuple, wavelet.read_shards(wavelet.write_shards(docs(spark, ODD), tokenizer(BYTE), 2, shard_tokens=shard_tokens)).collect()), key=lambda r: r[1])
-    assert [r[0] for r in got] == sorted(r[0] for r in ODD if r[0] is not None)
+    assert [r[0] for r in got] == sorted(r[0] for r in ODD if r[0] is not None) + [None]
     texts = {}
     for doc, text, *_ in ODD:
         texts.setdefault(doc, []).append(np.append(whole(text), 2).astype("<u4"))
@@ -113,7 +132,7 @@ def test_bm25_is_the_formula():
                 score += np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
         if score:
             want[k] = score
-    assert index.neighbours(0, used).tolist() == sorted(want, key=lambda k: -want[k])
+    assert list(index.neighbours(0, used)) == sorted(want, key=lambda k: -want[k])
 
 
 def test_packing_of_odd_rows(spark):
@@ -124,6 +143,11 @@ def test_packing_of_odd_rows(spark):
         assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
         held[r.sequence_id] = held.get(r.sequence_id, 0) + r.length
     assert sum(held.values()) == sum(len(whole(t)) + 1 for _, t, *_ in ODD)
+    for doc in {i for i, *_ in ODD}:  # pieces in order give the ids of the whole texts
+        want = sorted([*whole(t), 1] for i, t, *_ in ODD if i == doc)
+        if len(want) == 1 or len({tuple(w) for w in want}) == len(want) == 1:
+            parts = sorted((r.start, r.ids) for r in rows if r.doc_id == doc)
+            assert b"".join(p for _, p in parts) == np.array(want[0], dtype="<u4").tobytes()
     assert all(n == 2048 or n & (n - 1) == 0 for n in held.values())
     assert packing.pack_documents(docs(spark, []), tokenizer(WORD), 1).count() == 0
 
@@ -141,13 +165,19 @@ def test_related_documents_share_a_shard(spark):
 
 def test_copies_are_cut_into_even_shards():
     point = np.ones((1000, packing.DIMS))
-    shards = packing.Planes(point[:200], np.linspace(0, 1, 200), 5).shards(point, np.random.default_rng(3).random(1000))
+    dice = np.random.default_rng(3).random(1000)
+    shards = packing.Planes(point[:200], np.linspace(0, 1, 200), np.ones(200), 5).shards(point, dice)
     assert sorted(set(shards.tolist())) == [0, 1, 2, 3, 4] and np.bincount(shards).max() < 300
+    shards = packing.Planes(point[:200], np.linspace(0, 1, 200), np.ones(200), 5, 2).shards(point, dice)
+    assert len(set(shards.tolist())) == 20 and np.bincount(shards).max() < 120
+    other = np.random.default_rng(4).standard_normal((1000, packing.DIMS))
+    shards = packing.Planes(other[:200], dice[:200], np.ones(200), 5, 2).shards(other, dice)
+    assert len(set(shards.tolist())) == 20 and np.bincount(shards).max() < 200
 
 
 def test_seeds_ask_by_all_terms_and_the_frequencies_of_the_corpus():
     documents = [np.arange(60, dtype=np.uint32)] + [np.array([k, 100 + k], dtype=np.uint32) for k in range(60)]
-    assert len(packing.Index(documents).neighbours(0, np.zeros(61, dtype=bool))) == 60
+    assert len(list(packing.Index(documents).neighbours(0, np.zeros(61, dtype=bool)))) == 60
     corpus = packing.Corpus(1000, 2000, np.array([0, 1, 2]), np.array([900, 3, 3]))
     documents = [np.array(x, dtype=np.uint32) for x in ([0, 1], [0, 2], [1, 2], [1, 2])]
-    assert packing.Index(documents, corpus=corpus).neighbours(0, np.zeros(4, dtype=bool)).tolist() == [2, 3, 1]
+    assert list(packing.Index(documents, corpus=corpus).neighbours(0, np.zeros(4, dtype=bool))) == [2, 3, 1]
