@@ -1,14 +1,16 @@
 """Token ids in wavelet-matrix shards.
 
-Format of a shard, all numbers little-endian: magic `WMX2`; u32 planes, u64 tokens, u64 documents; then blocks, each a
-u64 length and that many zstd bytes: document ids (i64 each), token counts (u32 each), the ids that occur (ascending,
-u32 each), how often each occurs (u64 each), zero counts of the planes (u64 each), and the planes themselves, eight
-positions to a byte, lowest bit first.
+Format of a shard, all numbers little-endian: magic `WMX3`; u32 planes, u64 tokens, u64 documents, u64 how many of them,
+the last ones, have no id; then blocks, each a u64 length and that many zstd bytes: document ids (i64 each, 0 where there
+is none), token counts (u32 each), the ids that occur (ascending, u32 each), how often each occurs (u64 each), zero
+counts of the planes (u64 each). Then each plane: a zstd block with its rank directory, the ones before each stretch of
+65536 positions and in all (u64 each); a zstd block with the lengths of its stretches (u32 each); and the stretches, each
+zstd bytes by itself, eight positions to a byte, lowest bit first.
 
 The matrix is Huffman-shaped (Claude, Navarro, Ordonez 2015): plane k holds bit k of the codes that are longer than k;
 below it, ids with bit 0 come before those with bit 1, order kept, and the ids whose code ends there lie last and go.
-Codes follow from the counts. With counts of ones before every 512th position, rank and select take one look-up and a
-popcount, and from them follow access, counting and occurrences without decoding the rest.
+Codes follow from the counts. Rank and select take one look-up in the stored directory, one stretch and a popcount, and
+from them follow access, counting and occurrences: of each plane only the stretches that are asked are decompressed.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._spark import partitions, stored
+from ._spark import partitions, small_or_not, stored
 from .tokens import encoder
 
-MAGIC = b"WMX2"
+MAGIC = b"WMX3"
 #: Tokens after which a shard is closed (it ends with a whole document).
 SHARD_TOKENS = 2 << 20
-_WORD = 512
+#: Positions of a plane that are compressed together.
+STRETCH = 1 << 16
+_HEAD = "<IQQQ"
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
@@ -73,18 +77,68 @@ class _Shape:
         self.ended = [int(self.counts[e].sum()) for e in self.ending]
 
 
+class Plane:
+    """Bits in compressed stretches, with the ones before each; stretches are opened when asked for."""
+
+    def __init__(self, size: int, before: np.ndarray, packed: list[bytes]):
+        self.size, self.before, self.packed = size, before, packed
+        self._open: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def build(cls, bits: np.ndarray) -> Plane:
+        """bits: an array of booleans."""
+        pack, data = zstandard.ZstdCompressor(level=1).compress, np.packbits(bits, bitorder="little")
+        stretches = [data[at : at + STRETCH // 8] for at in range(0, len(data), STRETCH // 8)]
+        ones = [int(np.bitwise_count(x).sum(dtype=np.int64)) for x in stretches]
+        return cls(len(bits), np.concatenate([[0], np.cumsum(ones, dtype=np.int64)]).astype(np.int64), [pack(x) for x in stretches])
+
+    def stretch(self, k: int) -> np.ndarray:
+        found = self._open.get(k)
+        if found is None:
+            if len(self._open) >= 64:
+                self._open.clear()
+            found = self._open[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.packed[k]), dtype=np.uint8)
+        return found
+
+    def bits(self) -> np.ndarray:
+        """All bits, as booleans."""
+        unpack = zstandard.ZstdDecompressor().decompress
+        data = np.frombuffer(b"".join(map(unpack, self.packed)), dtype=np.uint8)
+        return np.unpackbits(data, count=self.size, bitorder="little").view(bool)
+
+    def rank(self, i: int) -> int:
+        """Ones before position i."""
+        k, i = divmod(i, STRETCH)
+        ones = int(self.before[k])
+        if i:
+            part = self.stretch(k)[: -(-i // 8)]
+            ones += int(np.bitwise_count(part).sum(dtype=np.int64))
+            if i % 8:
+                ones -= int(np.bitwise_count(np.uint8(int(part[-1]) >> (i % 8))))
+        return ones
+
+    def bit(self, i: int) -> int:
+        return int(self.stretch(i // STRETCH)[i % STRETCH // 8]) >> (i % 8) & 1
+
+    def select(self, bit: int, nth: int) -> int:
+        """Position of the nth (from 0) such bit."""
+        before = self.before if bit else np.minimum(np.arange(len(self.before)) * STRETCH, self.size) - self.before
+        k = int(np.searchsorted(before, nth, side="right")) - 1
+        part = np.unpackbits(self.stretch(k), bitorder="little")
+        return k * STRETCH + int(np.flatnonzero(part == bit)[nth - int(before[k])])
+
+
 class WaveletMatrix:
-    """One shard: ids of documents laid end to end; doc_ids and lengths hold their bounds, alphabet the ids that occur."""
+    """One shard: ids of documents laid end to end; doc_ids and lengths hold their bounds, the last `unnamed` documents have no id; alphabet: the ids that occur."""
 
-    def __init__(self, planes: list[np.ndarray], zeros: np.ndarray, n: int, doc_ids: np.ndarray, lengths: np.ndarray, alphabet: np.ndarray, counts: np.ndarray):
-        self.planes, self.zeros, self.n, self.doc_ids, self.lengths, self.alphabet, self.counts = planes, zeros, n, doc_ids, lengths, alphabet, counts
+    def __init__(self, planes: list[Plane], zeros: np.ndarray, n: int, doc_ids: np.ndarray, lengths: np.ndarray, alphabet: np.ndarray, counts: np.ndarray, unnamed: int = 0):
+        self.planes, self.zeros, self.n, self.doc_ids, self.lengths, self.alphabet, self.counts, self.unnamed = planes, zeros, n, doc_ids, lengths, alphabet, counts, unnamed
         self._shape = _Shape(counts)
-        self._ones: list[np.ndarray] | None = None
         #: positions that each plane has
         self.sizes = [n - sum(self._shape.ended[:k]) for k in range(self._shape.levels)]
 
     @classmethod
-    def build(cls, ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> WaveletMatrix:
+    def build(cls, ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, unnamed: int = 0) -> WaveletMatrix:
         ids = np.asarray(ids, dtype=np.uint32)
         dense = not len(ids) or int(ids.max()) < 1 << 24
         if dense:
@@ -104,76 +158,58 @@ class WaveletMatrix:
         planes, zeros = [], np.zeros(shape.levels, dtype=np.uint64)
         for k in range(shape.levels):
             one = ((shape.codes >> np.uint64(k)) & np.uint64(1)).astype(bool)[symbols]
-            planes.append(np.packbits(one, bitorder="little"))
+            planes.append(Plane.build(one))
             low = symbols.take(np.flatnonzero(~one))  # far faster than masks, as bits are near even
             zeros[k] = len(low)
             left = len(symbols) - shape.ended[k]
             symbols = np.concatenate([low, symbols.take(np.flatnonzero(one)[: left - len(low)])]) if left > len(low) else low[:left]
-        return cls(planes, zeros, len(ids), np.asarray(doc_ids, dtype=np.int64), np.asarray(lengths, dtype=np.uint32), alphabet, counts)
+        return cls(planes, zeros, len(ids), np.asarray(doc_ids, dtype=np.int64), np.asarray(lengths, dtype=np.uint32), alphabet, counts, unnamed)
 
     def to_bytes(self) -> bytes:
         pack = zstandard.ZstdCompressor(level=1).compress
-        arrays = [(self.doc_ids, "<i8"), (self.lengths, "<u4"), (self.alphabet, "<u4"), (self.counts, "<u8"), (self.zeros, "<u8"), *((p, "u1") for p in self.planes)]
-        out = [MAGIC, struct.pack("<IQQ", len(self.planes), self.n, len(self.doc_ids))]
-        for values, kind in arrays:
-            block = pack(values.astype(kind).tobytes())
-            out += [struct.pack("<Q", len(block)), block]
+        arrays = [(self.doc_ids, "<i8"), (self.lengths, "<u4"), (self.alphabet, "<u4"), (self.counts, "<u8"), (self.zeros, "<u8")]
+        for plane in self.planes:
+            arrays += [(plane.before, "<u8"), (np.array([len(x) for x in plane.packed]), "<u4"), plane.packed]
+        out = [MAGIC, struct.pack(_HEAD, len(self.planes), self.n, len(self.doc_ids), self.unnamed)]
+        for values in arrays:
+            if isinstance(values, list):
+                out += values
+            else:
+                block = pack(values[0].astype(values[1]).tobytes())
+                out += [struct.pack("<Q", len(block)), block]
         return b"".join(out)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet-matrix shard")
-        levels, n, _ = struct.unpack_from("<IQQ", data, 4)
-        at, blocks, unpack = 4 + struct.calcsize("<IQQ"), [], zstandard.ZstdDecompressor().decompress
-        for kind in ("<i8", "<u4", "<u4", "<u8", "<u8", *["u1"] * levels):
+        levels, n, _, unnamed = struct.unpack_from(_HEAD, data, 4)
+        at, unpack = 4 + struct.calcsize(_HEAD), zstandard.ZstdDecompressor().decompress
+
+        def block(kind: str) -> np.ndarray:
+            nonlocal at
             (size,) = struct.unpack_from("<Q", data, at)
-            blocks.append(np.frombuffer(unpack(data[at + 8 : at + 8 + size]), dtype=kind))
             at += 8 + size
-        ids, lengths, alphabet, counts, zeros, *planes = blocks
-        return cls(list(planes), zeros, n, ids, lengths, alphabet, counts)
-
-    # rank and select
-
-    def _counts(self, k: int) -> np.ndarray:
-        if self._ones is None:
-            self._ones = []
-            for plane, size in zip(self.planes, self.sizes):
-                padded = np.zeros(-(-(size + 1) // _WORD) * _WORD // 8, dtype=np.uint8)
-                padded[: len(plane)] = plane
-                ones = np.bitwise_count(padded).reshape(-1, _WORD // 8).sum(1)
-                self._ones.append(np.concatenate([[0], np.cumsum(ones)]))
-        return self._ones[k]
-
-    def _rank(self, k: int, i: int) -> int:
-        """Ones before position i of plane k."""
-        block = i // _WORD
-        ones = int(self._counts(k)[block])
-        part = self.planes[k][block * _WORD // 8 : -(-i // 8)]
-        if len(part):
-            ones += int(np.bitwise_count(part).sum())
-            if i % 8:
-                ones -= int(np.bitwise_count(np.uint8(int(part[-1]) >> (i % 8))))
-        return ones
-
-    def _bit(self, k: int, i: int) -> int:
-        return int(self.planes[k][i // 8]) >> (i % 8) & 1
-
-    def _select(self, k: int, bit: int, nth: int) -> int:
-        """Position of the nth (from 0) such bit in plane k."""
-        counts = self._counts(k)
-        before = counts if bit else np.minimum(np.arange(len(counts)) * _WORD, self.sizes[k]) - counts
-        block = int(np.searchsorted(before, nth, side="right")) - 1
-        part = np.unpackbits(self.planes[k][block * _WORD // 8 : (block + 1) * _WORD // 8], bitorder="little")
-        return block * _WORD + int(np.flatnonzero(part == bit)[nth - int(before[block])])
+            return np.frombuffer(unpack(data[at - size : at]), dtype=kind)
+
+        ids, lengths, alphabet, counts, zeros = (block(kind) for kind in ("<i8", "<u4", "<u4", "<u8", "<u8"))
+        planes, left, ended = [], n, _Shape(counts).ended
+        for k in range(levels):
+            before, packed = block("<u8").astype(np.int64), []
+            for size in block("<u4").tolist():
+                packed.append(data[at : at + size])
+                at += size
+            planes.append(Plane(left, before, packed))
+            left -= ended[k]
+        return cls(planes, zeros, n, ids, lengths, alphabet, counts, unnamed)
 
     def access(self, i: int) -> int:
         """The id at position i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         for k in range(len(self.planes)):
-            ones = self._rank(k, i)
-            i = int(self.zeros[k]) + ones if self._bit(k, i) else i - ones
+            ones = self.planes[k].rank(i)
+            i = int(self.zeros[k]) + ones if self.planes[k].bit(i) else i - ones
             left = self.sizes[k] - self._shape.ended[k]
             if i >= left:
                 ends = self._shape.ending[k]
@@ -189,7 +225,7 @@ class WaveletMatrix:
         """Where the symbol's occurrences in positions begin to end lie below its last plane."""
         code = int(self._shape.codes[symbol])
         for k in range(int(self._shape.lengths[symbol])):
-            low, high = self._rank(k, begin), self._rank(k, end)
+            low, high = self.planes[k].rank(begin), self.planes[k].rank(end)
             if code >> k & 1:
                 begin, end = int(self.zeros[k]) + low, int(self.zeros[k]) + high
             else:
@@ -213,7 +249,7 @@ class WaveletMatrix:
         code = int(self._shape.codes[symbol])
         for k in reversed(range(int(self._shape.lengths[symbol]))):
             bit = code >> k & 1
-            i = self._select(k, bit, i - int(self.zeros[k]) if bit else i)
+            i = self.planes[k].select(bit, i - int(self.zeros[k]) if bit else i)
         return i
 
     def occurrences(self, token: int) -> list[int]:
@@ -226,7 +262,7 @@ class WaveletMatrix:
         for k in reversed(range(len(self.planes))):
             ends = self._shape.ending[k]
             below = np.concatenate([values, np.repeat(alphabet[ends], self._shape.counts[ends])])
-            one = np.unpackbits(self.planes[k], count=self.sizes[k], bitorder="little").view(bool)
+            one = self.planes[k].bits()
             values = np.empty(self.sizes[k], dtype=kind)
             zeros = int(self.zeros[k])
             values[np.flatnonzero(~one)] = below[:zeros]
@@ -236,26 +272,31 @@ class WaveletMatrix:
 
 def _write(path: str, keeps_space: bool, end_id: int, shard_tokens: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end = encoder(path, keeps_space), np.array([end_id], dtype="<u4").tobytes()
+        codec = encoder(path, keeps_space)
         part, seq, docs, sizes, ids, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            lengths = np.array(sizes, dtype=np.uint32)
-            blob = WaveletMatrix.build(np.frombuffer(b"".join(ids), dtype="<u4"), np.array(docs, dtype=np.int64), lengths).to_bytes()
+            lengths = np.concatenate(sizes).astype(np.uint32)
+            named = pa.concat_arrays(docs)
+            blob = WaveletMatrix.build(np.concatenate(ids), named.fill_null(0).to_numpy(), lengths, named.null_count).to_bytes()
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(lengths.sum(dtype=np.int64))], pa.int64()), pa.array([blob], pa.binary())], ["part", "seq", "n_tokens", "shard"]
             )
 
         for frame in frames:
-            for doc, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
-                got = codec.encode(text) + end
-                docs.append(doc)
-                sizes.append(len(got) // 4)
-                ids.append(got)
-                held += len(got) // 4
-                if held >= shard_tokens:
-                    yield shard()
-                    seq, docs, sizes, ids, held = seq + 1, [], [], [], 0
+            at = 0
+            for size, got, bounds in codec.batches(frame.column(1), end_id):
+                done = 0
+                while done < size:  # the shard ends with the first document that fills it
+                    stop = min(size, int(np.searchsorted(bounds, bounds[done] + shard_tokens - held)))
+                    ids.append(got[bounds[done] : bounds[stop]])
+                    sizes.append(np.diff(bounds[done : stop + 1]))
+                    docs.append(frame.column(0).slice(at + done, stop - done))
+                    held, done = held + len(ids[-1]), stop
+                    if held >= shard_tokens:
+                        yield shard()
+                        seq, docs, sizes, ids, held = seq + 1, [], [], [], 0
+                at += size
         if docs:
             yield shard()
 
@@ -266,34 +307,46 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool
     """Encodes every text and writes the shards, in ascending doc_id order, as a table in the shared folder.
 
     Returns the table, read back: part and seq (their order), n_tokens, shard (the bytes of one file in the format
-    above; `WaveletMatrix.from_bytes` opens them). A null or empty text has the end id only; rows without doc_id are
-    left out, as they have no place in the order; rows that repeat a doc_id follow each other as read. An empty table
-    gives no shards.
+    above; `WaveletMatrix.from_bytes` opens them). A null or empty text has the end id only; rows without doc_id come
+    last; rows that repeat a doc_id follow each other as read. An empty table gives no shards.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("tie", F.monotonically_increasing_id())
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_last(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "tie").drop("tie")
     return stored(rows.mapInArrow(_write(tokenizer, keeps_space, end_id, shard_tokens), "part int, seq int, n_tokens long, shard binary"), "wavelet")
 
 
+def verify(shard: WaveletMatrix, ids: np.ndarray, places: int = 16) -> None:
+    """Holds access, counting and occurrence lookup against the decoded ids at evenly spaced positions."""
+    for at in np.linspace(0, shard.n - 1, places).astype(np.int64).tolist() if shard.n else ():
+        token = int(ids[at])
+        before = int((ids[:at] == token).sum())
+        if shard.access(at) != token or shard.count(token, 0, at) != before or shard.locate(token, before) != at:
+            raise ValueError(f"shard does not answer for position {at}")
+
+
 def _read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for frame in frames:
         for begin, data in zip(frame.column(0).to_pylist(), frame.column(1)):
             shard = WaveletMatrix.from_bytes(data.as_py())
-            ids = memoryview(shard.decode().tobytes())
+            decoded = shard.decode()
+            verify(shard, decoded)
+            ids = memoryview(decoded.tobytes())
             ends = np.cumsum(shard.lengths, dtype=np.int64)
             starts = ends - shard.lengths
             sums = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard.doc_ids), pa.array(starts + begin), pa.array(shard.lengths.astype(np.int64)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
-            )
+            named = pa.array(shard.doc_ids, mask=np.arange(len(ends)) >= len(ends) - shard.unnamed)
+            yield pa.RecordBatch.from_arrays([named, pa.array(starts + begin), pa.array(shard.lengths.astype(np.int64)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
-    """One row per document of the shards: doc_id, start (ids before it), n_tokens, ids_crc32 (of its ids as u32 bytes)."""
+    """One row per document of the shards: doc_id, start (ids before it), n_tokens, ids_crc32 (of its ids as u32 bytes).
+
+    Ids are decoded; at some positions of each shard the answers to access, count and occurrence are held against them.
+    """
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "before")
     inner = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    starts = shards.select("part", "seq", F.coalesce(inner, F.lit(0)).alias("within")).join(F.broadcast(before), "part")  # a row per partition at most
-    starts = starts.select("part", "seq", (F.col("within") + F.coalesce("before", F.lit(0))).alias("begin"))
-    return shards.select("part", "seq", "shard").join(F.broadcast(starts), ["part", "seq"]).select("begin", "shard").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    starts = shards.select("part", "seq", F.coalesce(inner, F.lit(0)).alias("within")).join(F.broadcast(before), "part")  # a row per shuffle partition
+    starts = stored(starts.select("part", "seq", (F.col("within") + F.coalesce("before", F.lit(0))).alias("begin")), "starts")
+    return shards.select("part", "seq", "shard").join(small_or_not(starts), ["part", "seq"]).select("begin", "shard").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
