@@ -1,8 +1,13 @@
 """Main text of web pages by tree scoring.
 
+A scanner reads the page once and builds a tree of its elements; its time is linear in the page whatever the markup.
 Paragraphs pass points for their length and commas to their ancestors; a container's points are discounted by the share
-of its text that is link text. The best container and those siblings that score well beside it are kept, without what
-their tags, roles or class names mark as something else than the article.
+of its text that is link text. The best container is kept, up to an article or main element around it, with its title and
+those siblings that score well beside it or are built like it.
+
+Tags, roles and unmistakable names (navigation, adverts, reader comments, ...) take a part out. Names that prose uses as
+well (discussion, notice, related, ...) only demote it: it goes if it is short or mostly links and stays if it reads like
+the article. Headings are never judged by their names.
 """
 
 from __future__ import annotations
@@ -15,194 +20,356 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Tags and names.
-_RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "math", "object", "canvas", "select")
+_RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "canvas", "select"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 _BLOCK = frozenset(("address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"))
-_ENDS_P = _BLOCK
 _SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 _SCOPE = frozenset(("ul", "ol", "menu", "dl", "table", "article", "section", "div", "body", "main"))
-_NOT_ARTICLE = frozenset(("nav", "footer", "aside", "form", "button", "menu", "dialog", "label", "input", "audio", "video", "map"))
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_LISTS = frozenset(("ul", "ol", "dir"))
+_NOT_ARTICLE = frozenset(("nav", "footer", "aside", "button", "menu", "dialog", "audio", "video", "map"))
 _NOT_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "status"))
-_NOT_NAMES = frozenset(("ad", "adbox", "ads", "adsense", "adv", "advert", "advertisement", "advertising", "adverts", "alert", "announcement", "banner", "breadcrumb", "breadcrumbs", "comment", "commentarea", "commentlist", "comments", "consent", "cookie", "cookiebanner", "cookiebar", "cookienotice", "cookies", "disclaimer", "discussion", "disqus", "feedback", "footer", "footnotes", "gdpr", "header", "login", "mainmenu", "masthead", "menu", "modal", "nav", "navbar", "navigation", "navmenu", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pagefooter", "pageheader", "pager", "pagination", "popup", "promo", "promoted", "promotion", "reactions", "recommended", "related", "replies", "respond", "responses", "reviews", "share", "sharing", "sidebar", "sidenav", "signup", "sitefooter", "siteheader", "skip", "social", "sponsor", "sponsored", "sponsors", "submenu", "subnav", "subscribe", "subscribebox", "subscription", "taboola", "toolbar", "topbar", "topnav", "widget"))
+#: Any part of a name that is one of these marks something else than the article.
+_NOT_NAMES = frozenset(("adbox", "ads", "adsense", "advert", "advertisement", "adverts", "breadcrumb", "breadcrumbs", "comment", "commentarea", "commentlist", "comments", "cookie", "cookiebanner", "cookiebar", "cookienotice", "cookies", "disqus", "gdpr", "mainmenu", "masthead", "modal", "nav", "navbar", "navmenu", "newsletter", "outbrain", "pagefooter", "pageheader", "pager", "pagination", "popup", "promo", "respond", "sidebar", "sidenav", "signup", "sitefooter", "siteheader", "submenu", "subnav", "subscribe", "subscribebox", "taboola", "topbar", "topnav"))
+#: These mark it if the name's other parts are of either list or structural, and then only what is short or mostly links.
+_DOUBTFUL_NAMES = frozenset(("ad", "adv", "advertising", "alert", "announcement", "banner", "consent", "disclaimer", "discussion", "feedback", "footer", "header", "login", "menu", "navigation", "notice", "notices", "notification", "overlay", "promoted", "promotion", "reactions", "recommended", "related", "replies", "responses", "reviews", "share", "sharing", "skip", "social", "sponsor", "sponsored", "sponsors", "subscription", "toolbar", "widget"))
+_STRUCTURAL = frozenset(("area", "articles", "bar", "block", "bottom", "box", "btn", "button", "buttons", "container", "content", "fixed", "group", "holder", "icons", "inner", "item", "items", "left", "links", "list", "main", "media", "outer", "page", "panel", "posts", "right", "row", "section", "site", "slot", "stories", "sticky", "text", "top", "unit", "wrap", "wrapper", "zone"))
 _OF_PAGE = frozenset(("has", "with", "no", "without", "layout", "page", "container", "wrapper", "template", "theme"))
 _KEPT = frozenset(("html", "body", "article", "main"))
 _SCORES = {"article": 25.0, "main": 15.0, "section": 4.0, "div": 5.0, "blockquote": 3.0, "td": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "form": -3.0, "th": -5.0}
 _PARAGRAPHS = frozenset(("p", "pre", "td", "blockquote", "div", "section", "article", "main", "li", "dd", "body"))
 #: A paragraph of fewer characters gives no points.
 LEAST_CHARS = 25
+#: A doubtful part with a heading stays from so many characters on, one without from so many.
+LEAST_HEADED, LEAST_BARE = 80, 400
+#: Ancestors that a paragraph's points reach.
+_LEVELS = 12
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|>|.*)|<(?P<raw>" + "|".join(_RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_OPEN = re.compile(r"[a-zA-Z][^\s/>]*")
+_NEXT = re.compile(r"""=\s*["']|>""")
+_RAW_ENDS = {tag: re.compile(f"</{tag}", re.I) for tag in _RAW}
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
+_STAYS, _GOES, _DOUBTFUL = 0, 1, 2
+
 
 class _Node:
-    __slots__ = ("tag", "parent", "dropped", "order", "chars", "linked", "points", "in_link", "in_list")
+    __slots__ = ("tag", "parent", "depth", "block", "mark", "gone", "articles", "in_link", "list", "name", "chars", "linked", "headed", "holds", "prose", "points", "kept")
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool, order: int):
-        self.tag, self.parent, self.dropped, self.order = tag, parent, dropped, order
-        self.chars = self.linked = 0
-        self.points = _SCORES.get(tag, 0.0)
+    def __init__(self, tag: str, parent: _Node | None, depth: int, mark: int, name: str):
+        self.tag, self.parent, self.depth, self.mark, self.name = tag, parent, depth, mark, name
+        self.block = self if parent is None or tag in _BLOCK else parent.block
+        self.gone = mark == _GOES or (parent is not None and parent.gone)
+        self.articles = (parent.articles if parent else 0) + (tag in ("article", "main"))
         self.in_link = tag == "a" or (parent is not None and parent.in_link)
-        self.in_list = tag in ("ul", "ol") or (parent is not None and parent.in_list)
+        self.list = self if tag in _LISTS else parent.list if parent else None
+        self.chars = self.linked = self.prose = 0
+        self.headed = self.holds = self.kept = False
+        self.points = 0.0
 
 
-def _names_other(word: str) -> bool:
-    """Whether a class name or id says so: one of its parts does, but not as in has-sidebar or sidebar-layout."""
+def _name_mark(word: str) -> int:
+    """What a class name or id says; has-sidebar and sidebar-layout speak of the page."""
     parts = [x.lower() for x in _NAME.findall(word)]
     for k, part in enumerate(parts):
         if part in _NOT_NAMES and not (k and parts[k - 1] in _OF_PAGE) and not (k + 1 < len(parts) and parts[k + 1] in _OF_PAGE):
-            return True
-    return False
+            return _GOES
+    if any(p in _DOUBTFUL_NAMES for p in parts) and all(p in _DOUBTFUL_NAMES or p in _STRUCTURAL for p in parts):
+        return _DOUBTFUL
+    return _STAYS
 
 
-def _marked(tag: str, attrs: str, inside_article: bool) -> bool:
-    """Whether the tag, its role or its names say that it is not the article."""
-    if tag in _NOT_ARTICLE or tag == "header" and not inside_article:
-        return True
-    if not attrs or tag in _KEPT:
-        return False
-    for name, value in _ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-        if name == "role" and value.lower() in _NOT_ROLES:
-            return True
-        if name in ("class", "id") and any(_names_other(word) for word in value.split()):
-            return True
-    return False
-
-
-def _blocks(page: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
-    """(innermost element, text, link characters) of each block in page order, and the elements."""
-    root = _Node("html", None, False, 0)
-    nodes, blocks, stack, articles = [root], [], [root], 0
-    held: list[str] = []
-    linked, at = 0, 0
-
-    def flush() -> None:
-        nonlocal linked
-        if held:
-            text = " ".join("".join(held).split())
-            if text:
-                blocks.append((next(x for x in reversed(stack) if x.tag in _BLOCK), text, min(linked, len(text))))
-            held.clear()
-        linked = 0
-
-    def close(k: int) -> None:
-        nonlocal articles
-        if any(x.tag in _BLOCK for x in stack[k:]):
-            flush()
-        articles -= sum(x.tag in ("article", "main") for x in stack[k:])
-        del stack[k:]
-
-    def text_of(part: str) -> None:
-        nonlocal linked
-        if stack[-1].dropped:
-            return
-        part = html.unescape(part) if "&" in part else part
-        held.append(part)
-        if stack[-1].in_link:
-            linked += len(part.strip())
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text_of(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                text_of(m[0][9:-3])
+def _judge(tag: str, attrs: str, inside_article: bool) -> tuple[int, str]:
+    """What tag, role and names say of an element, and its class."""
+    if tag in _NOT_ARTICLE:
+        return _GOES, ""
+    mark, name = _DOUBTFUL if tag == "form" or tag == "header" and not inside_article else _STAYS, ""
+    if not attrs:
+        return mark, name
+    for key, value in _ATTR.findall(attrs):
+        key, value = key.lower(), value.strip("\"'")
+        if key == "class":
+            name = value
+        if tag in _KEPT:
             continue
-        tag = tag.lower()
-        if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if stack[k].tag in _KEPT and tag not in _KEPT:
-                    break
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
+            return _GOES, name
+        if key == "role" and value.lower() in _NOT_ROLES:
+            return _GOES, name
+        if key in ("class", "id") and tag not in _HEADINGS:
+            for word in value.split():
+                found = _name_mark(word)
+                if found == _GOES:
+                    return _GOES, name
+                mark = max(mark, found)
+    return mark, name
+
+
+class _Page:
+    """The tree of a page: nodes in the order in which they open, blocks (innermost block element, text, link characters) in page order."""
+
+    def __init__(self, page: str):
+        self.nodes = [_Node("html", None, 0, _STAYS, "")]
+        self.blocks: list[tuple[_Node, str, int]] = []
+        self._stack, self._seen = [self.nodes[0]], set()
+        self._open: list[dict[str, int]] = [{}]  # how many of each tag are open above the last element of _KEPT
+        self._kept: list[str] = []  # the open elements of _KEPT
+        self._held: list[str] = []
+        self._linked = 0
+        self._read(page)
+        self._flush()
+
+    def _read(self, page: str) -> None:
+        at, last, quotes, dead = 0, page.rfind(">"), True, set()
+        while (start := page.find("<", at)) >= 0:
+            if start > last:
+                break
+            follows = page[start + 1 : start + 2]
+            if follows == "!" or follows == "?":
+                self._text(page[at:start])
+                if page.startswith("<!--", start):
+                    at = page.find("-->", start + 4) + 3 if "-->" not in dead else 2
+                    if page.startswith("<!-->", start):
+                        at = start + 5
+                    elif at == 2:
+                        return  # an open comment takes the rest
+                elif page.startswith("<![CDATA[", start) and "]]>" not in dead:
+                    end = page.find("]]>", start)
+                    if end < 0:
+                        dead.add("]]>")
+                        at = page.find(">", start) + 1
+                    else:
+                        self._text(page[start + 9 : end])
+                        at = end + 3
+                else:
+                    at = page.find(">", start) + 1
+                continue
+            ends = follows == "/"
+            named = _OPEN.match(page, start + 1 + ends)
+            if named is None:  # an ordinary character
+                self._text(page[at : start + 1])
+                at = start + 1
+                continue
+            self._text(page[at:start])
+            stop = page.find(">", named.end())
+            if not ends and quotes:
+                seek = named.end()
+                while (found := _NEXT.search(page, seek)) is not None and found[0] != ">":
+                    seek = page.find(found[0][-1], found.end()) + 1
+                    if not seek:
+                        found = None
+                        break
+                if found is None:
+                    quotes = False  # quotes do not pair from here on: tags end at the next >
+                else:
+                    stop = found.start()
+            at, tag = stop + 1, named[0].lower()
+            if ends:
+                self._close_tag(tag)
+                continue
+            attrs = page[named.end() : stop]
+            if tag in _RAW:
+                if not attrs.endswith("/") or tag != "svg":
+                    end = _RAW_ENDS[tag].search(page, at)
+                    at = len(page) if end is None else page.find(">", end.end()) + 1 or len(page)
+                continue
+            self._open_tag(tag, attrs)
+        self._text(page[at:])
+
+    def _text(self, part: str) -> None:
+        top = self._stack[-1]
+        if part and not top.gone:
+            part = html.unescape(part) if "&" in part else part
+            self._held.append(part)
+            if top.in_link:
+                self._linked += len(part.strip())
+
+    def _flush(self) -> None:
+        if self._held:
+            text = " ".join("".join(self._held).split())
+            if text:
+                self.blocks.append((self._stack[-1].block, text, min(self._linked, len(text))))
+            self._held.clear()
+        self._linked = 0
+
+    def _close(self, depth: int) -> None:
+        """Closes the element at that depth and all that are open in it."""
+        if any(x.tag in _BLOCK for x in self._stack[depth:]):
+            self._flush()
+        for x in reversed(self._stack[depth:]):
+            if x.tag in _KEPT:
+                self._open.pop()
+                self._kept.pop()
             else:
-                if tag in _BLOCK:
-                    flush()
-            continue
+                self._open[-1][x.tag] -= 1
+        del self._stack[depth:]
+
+    def _close_tag(self, tag: str) -> None:
+        stack = self._stack
+        if tag in _KEPT:
+            if self._kept.count(tag) if len(self._kept) < 100 else self._kept[-1] == tag:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                self._close(k)
+        elif self._open[-1].get(tag):
+            k = len(stack) - 1
+            while stack[k].tag != tag:
+                k -= 1
+            self._close(k)
+        elif tag in _BLOCK:
+            self._flush()
+
+    def _open_tag(self, tag: str, attrs: str) -> None:
+        stack = self._stack
         if tag == "br" or tag == "hr":
-            if not stack[-1].dropped:
-                held.append(" ")
+            if not stack[-1].gone:
+                self._held.append(" ")
             if tag == "hr":
-                flush()
-            continue
+                self._flush()
+            return
         if tag in _BLOCK:
-            flush()
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[k].tag == "p":
-                    close(k)
+            self._flush()
+            block = stack[-1].block
+            if block.tag == "p":  # a block ends an open paragraph
+                self._close(block.depth)
+        if tag in _SAME:
+            node, seen = stack[-1].block, 0
+            while node.parent is not None and seen < 64:
+                if node.tag in _SAME[tag]:
+                    self._close(node.depth)
                     break
-                if stack[k].tag in _BLOCK:
+                if node.tag in _SCOPE:
                     break
-        for k in range(len(stack) - 1, 0, -1) if tag in _SAME else ():
-            if stack[k].tag in _SAME[tag]:
-                close(k)
-                break
-            if stack[k].tag in _SCOPE:
-                break
-        if tag in _VOID or tag in ("html", "body", "head") and (tag == "html" or any(x.tag == tag for x in stack)):
-            continue
-        if tag == "body":
-            close(1)
-        outer = next((x for x in reversed(stack) if x.dropped and not x.parent.dropped), None)
-        around = stack[-1].dropped and not (tag in ("article", "main") and outer is not None and outer.tag == "form")  # a form may wrap a page
-        dropped = around or _marked(tag, m["attrs"], articles > 0)
-        node = _Node(tag, stack[-1], dropped, len(nodes))
-        nodes.append(node)
-        if not m["attrs"].endswith("/") or tag not in ("a", "p", "div", "span"):
-            stack.append(node)
-            articles += tag in ("article", "main")
-    if at < len(page):
-        text_of(page[at:])
-    flush()
-    return blocks, nodes
+                node, seen = node.parent.block, seen + 1
+        if tag in _VOID or tag == "html" or tag in ("head", "body") and tag in self._seen:
+            return
+        if tag in ("head", "body"):
+            self._seen.add(tag)
+            if len(stack) > 1 and tag == "body":
+                self._close(1)
+        parent = stack[-1]
+        mark, name = _judge(tag, attrs, parent.articles > 0)
+        node = _Node(tag, parent, len(stack), mark, name)
+        self.nodes.append(node)
+        if attrs.endswith("/") and tag in ("a", "p", "div", "span"):
+            return
+        stack.append(node)
+        if tag in _KEPT:
+            self._open.append({})
+            self._kept.append(tag)
+        else:
+            self._open[-1][tag] = self._open[-1].get(tag, 0) + 1
+
+
+def _totals(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
+    """Characters, link characters, prose paragraphs and headings of each element, its descendants included."""
+    for n in nodes:
+        n.chars = n.linked = n.prose = 0
+        n.headed, n.holds = False, n.tag in ("article", "main")
+    for node, text, linked in blocks:
+        node.chars += len(text)
+        node.linked += linked
+        node.prose += len(text) >= LEAST_HEADED and linked * 2 < len(text)
+        node.headed = node.headed or node.tag in _HEADINGS
+    for n in reversed(nodes):
+        up = n.parent
+        if up is not None:
+            up.chars += n.chars
+            up.linked += n.linked
+            up.prose += n.prose
+            up.headed = up.headed or n.headed
+            up.holds = up.holds or n.holds
+
+
+def _demoted(n: _Node, page_chars: int) -> bool:
+    """Whether a doubtful element goes."""
+    if n.tag == "form":  # some pages are one form
+        return not (n.holds or n.prose >= 2 and 2 * n.chars >= page_chars)
+    if n.tag == "header":  # a page's header goes, a text's stays
+        return not (n.headed and n.parent.tag not in ("body", "html") and 2 * n.linked < n.chars)
+    if n.holds or n.headed and n.chars >= LEAST_HEADED and 2 * n.linked < n.chars:
+        return False
+    return not (n.chars >= LEAST_BARE and 4 * n.linked < n.chars)
+
+
+def _without(nodes: list[_Node], blocks: list) -> list:
+    """Blocks that no gone element holds."""
+    for n in nodes:
+        n.gone = n.gone or (n.parent is not None and n.parent.gone)
+    return [b for b in blocks if not b[0].gone]
 
 
 def extract(page: str | None) -> str:
     """The main text: blocks joined by an empty line; an empty string if there is none."""
     if not page:
         return ""
-    blocks, nodes = _blocks(page)
-    blocks = [b for b in blocks if not (b[0].in_list and b[2] * 3 > 2 * len(b[1]))]  # menus without a mark
+    tree = _Page(page)
+    nodes, blocks = tree.nodes, tree.blocks
+    _totals(nodes, blocks)
+    if any(n.mark == _DOUBTFUL for n in nodes):
+        total = nodes[0].chars
+        for n in nodes:
+            if n.mark == _DOUBTFUL and not n.gone and _demoted(n, total):
+                n.gone = True
+        blocks = _without(nodes, blocks)
+        _totals(nodes, blocks)
+    before = None
+    for node, text, linked in blocks:  # menus without a mark: lists of links outside articles that nothing introduces
+        listed = node.list
+        if listed is None:
+            before = node if linked * 2 < len(text) else None
+        elif not listed.articles and listed.linked * 3 > 2 * listed.chars and listed.mark == _STAYS:
+            listed.mark = _DOUBTFUL if before is not None and before.parent is listed.parent else _GOES
+            listed.gone = listed.mark == _GOES
+    blocks = _without(nodes, blocks)
+    _totals(nodes, blocks)
+    for n in nodes:
+        n.points = _SCORES.get(n.tag, 0.0)
     for node, text, linked in blocks:
-        points = 1 + text.count(",") + min(len(text) / 100, 3) if len(text) >= LEAST_CHARS and node.tag in _PARAGRAPHS else 0
-        level, up = 0, node
-        while up is not None:
-            up.chars += len(text)
-            up.linked += linked
+        if len(text) < LEAST_CHARS or node.tag not in _PARAGRAPHS:
+            continue
+        points = 1 + text.count(",") + min(len(text) / 100, 3)
+        up = node
+        for level in range(_LEVELS):
+            if up is None:
+                break
             if level or node.tag not in ("p", "li", "dd", "pre"):
                 up.points += points / (1 if level <= 1 else 2 if level == 2 else 3 * level)
-            up, level = up.parent, level + 1
-    held = [n for n in nodes if n.chars and not n.dropped and n.tag in _BLOCK and n.tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "head", "html")]
+            up = up.parent
+    held = [n for n in nodes if n.chars and not n.gone and n.tag in _BLOCK and n.tag not in ("p", "li", "head", "html") and n.tag not in _HEADINGS]
     if not held:
-        return "\n\n".join(text for node, text, _ in blocks)
+        return "\n\n".join(text for _, text, _ in blocks)
     score = {n: n.points * (1 - n.linked / n.chars) for n in held}
-    best = max(held, key=lambda n: (score[n], -n.order))
-    while best.parent in score and best.parent.tag in ("article", "main") and best.parent.chars > best.chars:
-        best = best.parent
+    best = max(held, key=score.__getitem__)  # the first of the best
+    around = best
+    while around.parent is not None and around.articles:
+        around = around.parent
+        if around.tag in ("article", "main") and around.chars > best.chars and around in score:
+            best = around  # the whole article that the best part belongs to
     least = max(10.0, 0.2 * score[best])
-    chosen = {best} | {n for n in held if n.parent is best.parent and score[n] >= least}
-    out = []
-    for node, text, linked in blocks:
-        up = node
-        while up is not None and up not in chosen:
-            if up.parent is best.parent and up.tag == "p" and up is node and best.parent is not None and len(text) >= 80 and linked * 4 < len(text):
-                break  # a paragraph beside the container
-            up = up.parent
-        if up is not None:
-            out.append(text)
-    return "\n\n".join(out)
+    best.kept = True
+    for n in held:
+        if n.parent is best.parent and n is not best and n.tag not in ("header", "form") and n.list is None:
+            alike = n.tag == best.tag and (n.tag == "section" or n.name and n.name == best.name) and 2 * n.linked < n.chars
+            n.kept = alike or score[n] >= least
+    for n in nodes:
+        n.kept = n.kept or (n.parent is not None and n.parent.kept)
+    chosen = [n.kept or _beside(n, text, linked, best) for n, text, linked in blocks]
+    first = next((k for k, c in enumerate(chosen) if c), len(chosen))
+    if not any(c and b[0].tag == "h1" for c, b in zip(chosen, blocks)):  # its title may stand before it
+        for k in range(first - 1, -1, -1):
+            if blocks[k][0].tag == "h1" and 2 * blocks[k][2] < len(blocks[k][1]):
+                chosen[k] = True
+                break
+    return "\n\n".join(text for c, (_, text, _) in zip(chosen, blocks) if c)
+
+
+def _beside(n: _Node, text: str, linked: int, best: _Node) -> bool:
+    """Whether a block is a paragraph beside the container."""
+    return n.tag == "p" and n.parent is best.parent and best.parent is not None and len(text) >= LEAST_HEADED and linked * 4 < len(text)
 
 
 def _run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +382,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (its code points), one row per row of pages.
 
     A null or empty page, or one without an article, gives an empty text and 0; null ids and URLs stay null; repeated
-    rows give repeated results; only page_id, url and html are read. Broken markup never raises: what is not a tag is
-    text.
+    rows give repeated results; only page_id, url and html are read, so other columns may have any name. Broken markup
+    never raises and takes time in proportion to its length: what is not a tag is text, an open comment or script takes
+    the rest of the page.
     """
     return pages.selectExpr("cast(page_id as long) as page_id", "url", "html").mapInArrow(_run, "page_id long, url string, text string, n_chars long")
