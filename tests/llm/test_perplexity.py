@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,14 +12,23 @@ from lattica.llm import perplexity as P
 from .common import ODD, docs
 
 
-def brute(texts):
-    """Interpolated modified Kneser-Ney from dictionaries; returns the probability of a tuple of four symbols."""
-    counts = {4: collections.Counter()}
-    for t in texts:
-        g, _ = P.grams([t])
-        for x in g.tolist():
-            counts[4][tuple(x >> s & 63 for s in (18, 12, 6, 0))] += 1
-    for k in (3, 2, 1):
+def squeezed(text):
+    return " ".join(re.sub("[\t-\r\x85\xa0]", " ", text).split(" ")).strip(" ") if text else ""
+
+
+def normal(text):
+    return re.sub(" +", " ", squeezed(text)).strip(" ")
+
+
+def windows(text, order):
+    padded = "\2" * (order - 1) + normal(text)
+    return [padded[k : k + order] for k in range(len(padded) - order + 1)]
+
+
+def brute(texts, order):
+    """Interpolated modified Kneser-Ney from dictionaries; returns the probability of a gram."""
+    counts = {order: collections.Counter(g for t in texts for g in windows(t, order))}
+    for k in range(order - 1, 0, -1):
         counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
     discount, total, weight = {}, {}, {}
     for k in counts:
@@ -37,12 +47,12 @@ def brute(texts):
 
     def p(g):
         if not g:
-            return 1 / P.SYMBOLS
+            return 1 / (len(counts[1]) + 1)
         k, h = len(g), g[:-1]
         if h not in total[k]:
             return p(g[1:])
         c = counts[k][g]
-        own = max(c - (discount[k][min(c, 3) - 1] if c else 0), 0) / total[k][h] if c else 0.0
+        own = (c - discount[k][min(c, 3) - 1]) / total[k][h] if c else 0.0
         return own + weight[k][h] * p(g[1:])
 
     return p
@@ -53,24 +63,50 @@ def corpus(n, seed=1, letters="etaoinshr"):
     return [" ".join("".join(draw.choice(letters) for _ in range(draw.randint(1, 6))) for _ in range(draw.randint(5, 30))).capitalize() + "." for _ in range(n)]
 
 
-def test_model_is_the_formula(spark):
-    texts = corpus(40) + [None, "", "  "]
-    table = P.train(spark.createDataFrame([(t,) for t in texts], "text string")).table()
-    p = brute([t for t in texts if t])
-    draw = np.random.default_rng(0)
-    seen = P.grams([t for t in texts if t])[0][:300].tolist()
-    for x in seen + draw.integers(0, 64**4, 300).tolist():
-        assert math.exp(table[x]) == pytest.approx(p(tuple(int(x) >> s & 63 for s in (18, 12, 6, 0))), rel=2e-4)
-    sums = np.exp(table.astype(np.float64)).reshape(-1, 64).sum(1)
-    assert np.allclose(sums, 1, atol=1e-3)
-
-
-def test_grams_of_each_text():
-    texts = ["ab", "", "  a \n\t b ", "x"]
-    g, counts = P.grams(texts)
-    assert counts.tolist() == [2, 0, 3, 1] and len(g) == 6
-    alone = np.concatenate([P.grams([t])[0] for t in texts])
-    assert (g == alone).all()
+@pytest.mark.parametrize("order", [3, 5])
+def test_documents_have_the_perplexity_of_the_formula(spark, order):
+    texts = corpus(60) + [None, "", "  ", "ünï \t\xa0 ЖЁ日本語 \0 \2 x", "Zq$#! X&", "a", " b ", "e" * 3000]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
+    trusted = set(range(0, 60, 2))
+    got = {r.doc_id: r for r in P.classify(docs(spark, rows), spark.createDataFrame([(k,) for k in trusted], "doc_id long"), order).collect()}
+    side = lambda k: zlib.crc32(str(k).encode()) % 2
+    models = {f: brute([texts[k] for k in trusted if side(k) != f], order) for f in (0, 1)}
+    for k, t in enumerate(texts):
+        grams = windows((t or "").replace("\0", "\ufffd").replace("\2", "\ufffd"), order)
+        if not grams:
+            assert got[k].perplexity is None
+            continue
+        want = math.exp(-sum(math.log(models[side(k)](g)) for g in grams) / len(grams))
+        assert got[k].perplexity == pytest.approx(want, rel=1e-9), (k, t)
+
+
+def test_probabilities_sum_to_one():
+    texts = corpus(30)
+    p = brute(texts, 3)
+    letters = {c for t in texts for c in normal(t)}
+    for h in ("th", "\2\2", "qz"):
+        assert sum(p(h + c) for c in letters) + p(h + "Ж") == pytest.approx(1)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_grams_of_each_text(wide):
+    texts = ["ab", "", "  a \n\t b ", "x", "\0\2"] + (["".join(map(chr, range(0x4E00, 0x6200)))] if wide else [])
+    points, places, owner = P.spell(texts, 5)
+    coder = P.Coder(5)
+    got = coder.strings(coder.keys(points, places)).tolist()
+    assert coder.wide == wide
+    assert np.bincount(owner, minlength=len(texts)).tolist()[:5] == [2, 0, 3, 1, 2]
+    assert got == [g for t in texts for g in windows(t.replace("\0", "\ufffd").replace("\2", "\ufffd"), 5)]
+
+
+def test_counts_after_the_alphabet_outgrows_its_bits():
+    coder = P.Coder(5)
+    parts = []
+    for t in ("abcabc", "".join(map(chr, range(0x4E00, 0x6200))) + "abcabc"):
+        points, places, _ = P.spell([t], 5)
+        parts.append(coder.keys(points, places))
+    keys, counts = coder.merged(parts, [np.ones(len(p), dtype=np.int64) for p in parts])
+    assert dict(zip(keys.tolist(), counts.tolist()))["bcabc"] == 2
 
 
 def test_classify(spark):
@@ -91,5 +127,5 @@ def test_short_junk_is_judged_at_the_plain_quantile(spark):
     junk = ["$#@! ZXQ&*", "Zq$#! X&", "%%|<>Q"]
     rows = [(k, t, "en", "s") for k, t in enumerate(good + junk)]
     got = {r.doc_id: r for r in P.classify(docs(spark, rows), spark.createDataFrame([(k,) for k in range(400)], "doc_id long")).collect()}
-    held = sorted(got[k].perplexity for k in range(400) if zlib.crc32(str(k).encode()) % P.FOLDS == P.HELD)
-    assert held[-3] <= got[0].bound <= held[-1] and not any(got[400 + k].kept for k in range(3))
+    perplexities = sorted(got[k].perplexity for k in range(400))
+    assert perplexities[-6] <= got[0].bound <= perplexities[-4] and not any(got[400 + k].kept for k in range(3))
