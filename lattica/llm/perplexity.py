@@ -17,10 +17,14 @@ the trusted documents of that language, scored in the same way.
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,10 @@ ORDER = 5
 UPPER = 0.99
 #: Languages with fewer trusted documents take the bound of all languages together.
 LEAST_TRUSTED = 30
-#: Bytes of text in a block, about; characters of text that are cut into grams at once.
-BLOCK_BYTES, PART_CHARS = 24 << 20, 1 << 20
+#: Bytes of text in a block, about, and the least number of blocks of a fold; characters of text that are handled at once.
+BLOCK_BYTES, LEAST_BLOCKS, PART_CHARS = 48 << 20, 4, 1 << 20
+#: How hard texts are compressed on their way to their block.
+LEVEL = 6
 _PAD, _BLANK = 2, 0x20
 _BLANKS = (*range(0x09, 0x0E), 0x85, 0xA0)
 
@@ -150,27 +156,70 @@ def _count(order: int):
     return run
 
 
+def _pack(blocks: int):
+    """Rows (block, documents): documents of one fold, about PART_CHARS at a time, compressed together."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))
+        part, number = TaskContext.get().partitionId(), 0
+        for frame in frames:
+            folds, sizes = frame.column(0).to_numpy(), pc.fill_null(pc.binary_length(frame.column(3)), 0).to_numpy()
+            documents = frame.select(["doc_id", "lang", "text"])
+            for side in (0, 1):
+                rows = np.flatnonzero(folds == side)
+                cuts = np.flatnonzero(np.diff(np.cumsum(sizes[rows]) // PART_CHARS)) + 1
+                for some in np.split(rows, cuts):
+                    if not len(some):
+                        continue
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, documents.schema, options=options) as out:
+                        out.write_batch(documents.take(pa.array(some)))
+                    block = zlib.crc32(struct.pack("<qq", part, number)) % blocks * 2 + side
+                    number += 1
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "documents"])
+
+    return run
+
+
+def _opened(packed: bytes) -> pa.Table:
+    return pa.ipc.open_stream(packed).read_all()
+
+
+def _listed(order: int):
+    count = _count(order)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def texts() -> Iterator[pa.RecordBatch]:
+            for frame in frames:
+                for block, packed in zip(frame.column(0).to_pylist(), frame.column(1)):
+                    text = _opened(packed.as_py())["text"].combine_chunks()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(text), block, dtype=np.int32)), text], ["block", "text"])
+
+        for found in count(texts()):
+            yield found.select(["number", "gram"]).rename_columns(["block", "gram"])
+
+    return run
+
+
 def _score(order: int):
-    def run(documents: pa.Table, grams: pa.Table) -> pa.Table:
-        coder, texts = Coder(order), [t or "" for t in documents["text"].to_pylist()]
+    def run(packed: pa.Table, grams: pa.Table) -> pa.Table:
+        coder = Coder(order)
         known = np.array(grams["gram"].to_pylist(), dtype=f"<U{order}")
-        logs = grams["p"].to_numpy()
-        logs = np.log(logs)
-        points = known.view("<u4").reshape(-1, order) if len(known) else np.zeros((0, order), dtype=np.uint32)
+        logs = np.log(grams["p"].to_numpy())
         ends = np.arange(1, len(known) + 1) * order - 1
-        keys = coder.keys(points.ravel(), ends) if len(known) else np.zeros(0, dtype=np.uint64)  # after this the coder has all symbols of the block
+        keys = coder.keys(known.view("<u4"), ends) if len(known) else np.zeros(0, dtype=np.uint64)  # after this the coder has all symbols of the block
         up = np.argsort(keys)
-        keys, logs = keys[up], logs[up]
-        sums, sizes = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-        for a, b in _parts(texts):
-            points, places, owner = spell(texts[a:b], order)
-            if not len(places):
-                continue
-            found, place = np.unique(coder.keys(points, places), return_inverse=True)
-            sums[a:b] += np.bincount(owner, weights=logs[np.searchsorted(keys, found)][place], minlength=b - a)
-            sizes[a:b] += np.bincount(owner, minlength=b - a)
-        entropy = pa.array(-sums / np.maximum(sizes, 1), mask=sizes == 0)
-        return pa.table({"doc_id": documents["doc_id"], "lang": documents["lang"], "entropy": entropy, "symbols": sizes})
+        keys, logs, out = keys[up], logs[up], []
+        for part in packed["documents"]:
+            documents = _opened(part.as_py())
+            texts = [t or "" for t in documents["text"].to_pylist()]
+            points, places, owner = spell(texts, order)
+            found, place = np.unique(coder.keys(points, places) if len(places) else keys[:0], return_inverse=True)
+            sums = np.bincount(owner, weights=logs[np.searchsorted(keys, found)][place], minlength=len(texts))
+            sizes = np.bincount(owner, minlength=len(texts))
+            entropy = pa.array(-sums / np.maximum(sizes, 1), mask=sizes == 0)
+            out.append(pa.table({"doc_id": documents["doc_id"], "lang": documents["lang"], "entropy": entropy, "symbols": sizes}))
+        return pa.concat_tables(out)
 
     return run
 
@@ -226,10 +275,10 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
 
 
 def probabilities(grams: DataFrame, model: Model) -> DataFrame:
-    """model, gram and p of different grams (model, gram) of the model's order: order by order, the share plus the context's weight times the suffix's probability."""
+    """model, gram and p of different grams (model, gram) of the model's order, a stored table: order by order, the share plus the context's weight times the suffix's probability."""
     asked = {model.order: grams}
     for k in range(model.order - 1, 0, -1):
-        asked[k] = asked[k + 1].select("model", F.substring("gram", 2, k).alias("gram")).distinct()
+        asked[k] = stored(asked[k + 1].select("model", F.substring("gram", 2, k).alias("gram")).distinct(), "asked")
     less = F.lit(1.0)
     for number, n in model.symbols.items():
         less = F.when(F.col("model") == number, F.lit(1.0 / (n + 1))).otherwise(less)
@@ -252,27 +301,18 @@ def score(docs: DataFrame, model: Model, block_bytes: int = BLOCK_BYTES) -> Data
     """doc_id, lang, entropy (the natural logarithm of the perplexity per symbol; null for a text without any) and symbols of each row, by the model of its fold."""
     order = model.order
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (2 * block_bytes)))  # of each fold
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    number = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int") * 2 + fold(F.col("doc_id"))
-    rows = rows.select(number.alias("block"), "doc_id", "lang", "text").repartition(2 * blocks, "block")
-    listed = rows.mapInArrow(_listed(order), "block int, gram string, n long").select("block", (F.col("block") % 2).alias("model"), "gram")
-    listed = stored(listed, "listed")
-    found = probabilities(stored(listed.select("model", "gram").distinct(), "asked"), model)
-    known = listed.join(found, ["model", "gram"]).select("block", "gram", "p")
+    blocks = max(LEAST_BLOCKS, -(-size // (2 * block_bytes)))  # of each fold
+    rows = docs.select(fold(F.col("doc_id")).alias("fold"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    rows = rows.mapInArrow(_pack(blocks), "block int, documents binary").repartition(2 * blocks, "block")
+    # first the different grams of all texts and their probabilities, then, in one plan, which deals the texts once, each block's part of them
+    different = docs.select(fold(F.col("doc_id")).alias("model"), "text").mapInArrow(_count(order), "model int, gram string, n long").select("model", "gram").distinct()
+    found = stored(probabilities(stored(different, "different"), model), "probabilities")
+    listed = rows.mapInArrow(_listed(order), "block int, gram string").select("block", (F.col("block") % 2).alias("model"), "gram")
+    known = listed.join(found, ["model", "gram"]).select("block", "gram", "p").repartition(2 * blocks, "block")
     schema = "doc_id long, lang string, entropy double, symbols long"
     return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score(order), schema)
 
 
-def _listed(order: int):
-    count = _count(order)
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return count(pa.RecordBatch.from_arrays([f.column(0), f.column(3)], ["block", "text"]) for f in frames)
-
-    return run
-
-
 def classify(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, lang, perplexity, bound and kept, one row per row of docs.
 
