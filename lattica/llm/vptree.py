@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 from ._spark import partitions, stored
 
 SHARD_ROWS, QUERY_ROWS, LEAF = 16384, 256, 128
+#: Bytes of a shard's vectors in double precision, at most; tasks that hold trees, at most.
+SHARD_BYTES, MOST_TASKS = 256 << 20, 20_000
 _SLACK = 1e-9
 
 
@@ -132,6 +134,10 @@ class Tree:
         for q in range(len(unit)):
             hit = at[q][np.isfinite(best[q])]
             exact = (self.points[hit].astype(np.float64) * wide[q]).sum(1) / (self.norms[hit] * norms[q])
+            if len(hit) == keep < len(self.points) and np.partition(best[q], -k - 1)[-k - 1] - best[q].min() < _SLACK:  # more points may tie with the last than are kept
+                near = np.flatnonzero(self.unit @ unit[q] > best[q].min() - _SLACK)
+                exact = (self.points[near].astype(np.float64) * wide[q]).sum(1) / (self.norms[near] * norms[q])
+                hit = near
             rows = [(-s, i) for s, p in zip(exact.tolist(), hit.tolist()) for i in self.ids[self.id_start[p] : self.id_start[p + 1]][: k + 1].tolist() if i != own[q]]
             rows.sort()
             ids.append(np.array([i for _, i in rows[:k]], dtype=np.int64))
@@ -179,16 +185,23 @@ def _block(ids: np.ndarray, vectors: np.ndarray) -> bytes:
 
 
 def _search(k: int, factor: float):
+    """Rows (dim, number, block, data), sorted: a shard's tree (block -1), then the blocks of queries that it is asked."""
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
         for frame in frames:
-            for tree, block in zip(frame.column(0), frame.column(1)):
-                with np.load(io.BytesIO(block.as_py())) as held:
+            for dim, block, data in zip(frame.column(0).to_pylist(), frame.column(2).to_pylist(), frame.column(3)):
+                if block < 0:
+                    tree = Tree.from_bytes(data.as_py())
+                    continue
+                with np.load(io.BytesIO(data.as_py())) as held:
                     own, vectors = held["arr_0"], held["arr_1"]
-                ids, scores, _ = Tree.from_bytes(tree.as_py()).search(own, vectors, k, factor)
+                ids, scores, _ = tree.search(own, vectors, k, factor)
                 lengths = [len(i) for i in ids]
+                n, place = sum(lengths), np.repeat(np.arange(len(own)), lengths)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(own, lengths)), pa.array(np.repeat(np.arange(len(own)), lengths)), pa.array(np.concatenate([*ids, np.zeros(0, np.int64)])), pa.array(np.concatenate([*scores, np.zeros(0)]))],
-                    ["query_id", "place", "vec_id", "score"],
+                    [pa.array(np.full(n, dim, dtype=np.int32)), pa.array(np.full(n, block, dtype=np.int32)), pa.array(np.repeat(own, lengths)), pa.array(place), pa.array(np.concatenate([*ids, np.zeros(0, np.int64)])), pa.array(np.concatenate([*scores, np.zeros(0)]))],
+                    ["dim", "block", "query_id", "place", "vec_id", "score"],
                 )
 
     return run
@@ -210,22 +223,26 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, factor: float = 1.0
     compared. A vec_id that is repeated is a candidate as often as it occurs; as a query, each of its different vectors
     gets its own k rows. An empty table gives no rows. Other columns are not read.
 
-    Every shard's tree meets every block of queries: rows of the tables of trees and blocks, each of bounded size.
+    Every shard's tree stays in one task, and the blocks of queries come to it one after the other: a query travels once
+    per shard, a tree once.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors)
-    count = rows.count()
-    shards = max(1, -(-count // shard_rows))
-    keyed = rows.withColumn("number", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
-    n = min(partitions(spark), shards)
+    rows = stored(usable(vectors), "vectors")
+    sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each length of vectors
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shards = {d: max(1, -(-n // max(LEAF, min(shard_rows, SHARD_BYTES // (8 * d))))) for d, n in sizes.items()}
+    of = lambda numbers: F.element_at(F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair]), F.col("dim"))
+    keyed = rows.withColumn("number", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), of(shards)).cast("int"))
+    n = min(MOST_TASKS, sum(shards.values()))
     trees = keyed.select("dim", "number", "vec_id", "embedding").repartition(n, "dim", "number").sortWithinPartitions("dim", "number", "vec_id").mapInArrow(_packed(lambda i, v: Tree.build(i, v).to_bytes()), "dim int, number int, data binary")
     trees = stored(trees, "trees")
+    blocks = {d: max(1, -(-m // every // QUERY_ROWS)) for d, m in sizes.items()}
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "embedding"])
-    blocks = max(1, -(-count // every // QUERY_ROWS))
-    asked = asked.withColumn("number", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    asked = asked.select("dim", "number", "vec_id", "embedding").repartition(min(partitions(spark), blocks), "dim", "number").sortWithinPartitions("dim", "number", "vec_id").mapInArrow(_packed(_block), "dim int, number int, data binary")
-    asked = stored(asked, "asked").select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("number"), F.col("number").alias("block"), F.col("data").alias("asked"))
-    met = trees.join(asked, ["dim", "number"]).select("block", "data", "asked").repartition(max(partitions(spark), 1))
-    found = met.select("data", "asked").mapInArrow(_search(k, factor), "query_id long, place long, vec_id long, score double")
-    first = Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id")
+    asked = asked.withColumn("number", F.pmod(F.xxhash64("vec_id", "embedding"), of(blocks)).cast("int"))
+    asked = asked.select("dim", "number", "vec_id", "embedding").repartition(min(partitions(spark), sum(blocks.values())), "dim", "number").sortWithinPartitions("dim", "number", "vec_id").mapInArrow(_packed(_block), "dim int, number int, data binary")
+    asked = stored(asked, "asked").select("dim", F.explode(F.sequence(F.lit(0), of(shards) - 1)).alias("number"), F.col("number").alias("block"), "data")
+    met = trees.select("dim", "number", F.lit(-1).alias("block"), "data").union(asked).repartition(n, "dim", "number").sortWithinPartitions("dim", "number", "block")
+    found = met.mapInArrow(_search(k, factor), "dim int, block int, query_id long, place long, vec_id long, score double")
+    first = Window.partitionBy("dim", "block", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

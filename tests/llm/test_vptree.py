@@ -41,6 +41,7 @@ def test_frame(spark):
     vectors = draw.normal(size=(300, 6)).astype(np.float32).tolist()
     rows = [(k, v, 1, 2) for k, v in enumerate(vectors)]
     rows += [(350, None, 1, 2), (400, [0.0] * 6, 1, 2), (401, [1.0, None] + [0.0] * 4, 1, 2), (450, [float("nan")] + [1.0] * 5, 1, 2), (None, vectors[0], 1, 2), (500, [1.0, 2.0], 1, 2), (501, [2.0, 1.0], 1, 2), (250, vectors[3], 1, 2)]
+    rows += [(0, [3.0, 1.0], 1, 2)]  # one id, two lengths
     got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, dim int, number int"), shard_rows=64).collect()
     ids = [r[0] for r in rows[:300]] + [250]
     every = vectors + [vectors[3]]
@@ -48,7 +49,19 @@ def test_frame(spark):
     by = {}
     for r in got:
         by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(i for _, i, s in by[0] if i in (500, 501)) == [500, 501] and len(by[0]) == 7
+    by[0] = [x for x in by[0] if x[1] not in (500, 501)]
     for q, found in want.items():
         assert [i for _, i, _ in sorted(by[q])] == [i for i, _ in found]
-    assert sorted(by[500]) == [(1, 501, pytest.approx(0.8))] and len(by[250]) == 10 and not {350, 400, 450} & set(by)
+    assert [i for _, i, _ in sorted(by[500])] == [501, 0] and len(by[250]) == 10 and not {350, 400, 450} & set(by)
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_ties_beyond_what_is_kept_go_to_the_smaller_ids():
+    draw = np.random.default_rng(3)
+    scale = 2.0 ** draw.permutation(np.arange(40))  # forty different points in one direction, and others
+    vectors = np.concatenate([scale[:, None] * np.array([1.0, 2.0]), draw.normal(size=(200, 2))])
+    ids = draw.permutation(240)
+    tree = Tree.build(ids, vectors, leaf=8)
+    (got,), _, _ = tree.search(np.array([10_000]), np.array([[2.0, 4.0]]), 5)
+    assert got.tolist() == sorted(ids[:40].tolist())[:5]
