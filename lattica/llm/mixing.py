@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Every document draws an exponential key -ln(u) / w, where u comes from a hash of its doc_id and w is its quality
+Every document draws an exponential key -ln(u) / w, where u comes from a hash of its doc_id and text and w is its quality
 weight. A source that owes more words than it has gives complete epochs first, each document once an epoch; what is
 left is filled with documents in ascending order of their keys, the last one cut to the word that meets the budget.
 
@@ -21,7 +21,7 @@ WEIGHTS = (5, 2, 1)
 #: A source gives at most so many times its size.
 MOST = 3
 #: Rows of a source's range of keys, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 #: Quality weights of documents labelled good, labelled bad, and not labelled.
 QUALITY = {1: 2.0, 0: 0.5, None: 1.0}
 
@@ -30,9 +30,10 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) from 52 bits of the MD5 of seed and doc_id."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in (0, 1) from 52 bits of the MD5 of seed, doc_id and the text's MD5: rows without id, or of one id, draw apart."""
+    drawn = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    bits = F.conv(F.substring(F.md5(drawn), 1, 13), 16, 10).cast("long")
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
@@ -61,22 +62,23 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return rows.select("source", "source_size", "number", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, range_rows: int = RANGE_ROWS) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, range_rows: int = RANGE_ROWS, key: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target and taken (words of the document that the mix takes), one row per row.
 
     docs has doc_id, text and source; quality has doc_id and weight (positive), one row per doc_id; documents without a
     row, and all if it is None, weigh 1. Size is the number of words; a null or empty text has 0, and nothing is taken
     of it. A source's taken words sum to its target, rounded. A null source is a source of its own; a null doc_id draws
-    a key like any other. Rows that repeat a doc_id share its key and follow each other; equal rows may be taken
-    differently. An empty table gives an empty result. The result depends only on the rows and the seed.
+    a key like any other. Rows that repeat a doc_id draw apart if their texts differ; equal rows follow each other and may
+    be taken differently. An empty table gives an empty result. The result depends only on the rows and the seed. key
+    names a column of docs that comes along.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    also = [F.col(key).alias("row_key")] if key else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"), *also)
     if quality is not None:
-        rows = rows.join(small_or_not(quality.select("doc_id", F.col("weight").alias("quality"))), "doc_id", "left")
+        rows = rows.join(small_or_not(stored(quality.select("doc_id", F.col("weight").alias("quality")), "weights")), "doc_id", "left")
     else:
         rows = rows.withColumn("quality", F.lit(1.0))
-    key = -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce("quality", F.lit(1.0))
-    rows = stored(rows.withColumn("key", key).drop("quality"), "sized")
+    rows = stored(rows.withColumn("key", -F.log("u") / F.coalesce("quality", F.lit(1.0))).drop("quality", "u"), "sized")
     ranges = max(1, rows.count() // range_rows)
     sources = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "sources")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -86,11 +88,11 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", we
     rows = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("long"))
     sums = rows.groupBy("number", "range").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("number").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = small_or_not(sums.select("number", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below")))
+    sums = small_or_not(stored(sums.select("number", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below")), "sums"))
     inner = Window.partitionBy("number", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(sums, ["number", "range"])
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("below") - F.col("within")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"), *(["row_key"] if key else []))
 
 
 def quality_weights(spark, sf_dir: str) -> DataFrame:
@@ -99,15 +101,17 @@ def quality_weights(spark, sf_dir: str) -> DataFrame:
     return trusted_labels(spark, sf_dir).select("doc_id", F.when(label == 1, QUALITY[1]).when(label == 0, QUALITY[0]).otherwise(QUALITY[None]).alias("weight"))
 
 
-def apply(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mixture as documents: each row of docs as often as the mix takes it whole, and once more cut to the words of the rest.
+def apply(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
+    """The mixture as documents: each row of docs as often as the mixture takes it whole, and once more cut to the words of the rest.
 
-    mixed: doc_id, size and taken of these docs, as mix() returns them; rows that repeat a doc_id share what is taken
-    of it evenly, as sums allow. Columns are those of docs; n_chars, if there is one, counts the text that is left.
+    quality and options are those of mix(), which decides row by row. Columns are those of docs; n_chars, if there is
+    one, counts the text that is left. Rows of which nothing is taken go.
     """
-    most = mixed.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("doc_id", F.col("row.doc_id")).join(small_or_not(most), "doc_id").where("taken > 0")
-    rows = rows.withColumn("words", word_count(F.col("row.text"))).withColumn("share", F.floor(F.col("taken") * F.col("words") / F.col("size"))).where("share > 0")
+    cells = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row_key"), cells.alias("row")), "keyed")
+    mixed = mix(keyed.select("row_key", "row.doc_id", "row.source", "row.text"), quality, key="row_key", **options)
+    taken = stored(mixed.where("taken > 0").select("row_key", F.col("size").alias("words"), F.col("taken").alias("share")), "taken")
+    rows = keyed.join(small_or_not(taken), "row_key")
     rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(1), F.ceil(F.col("share") / F.col("words")).cast("int"))))
     rows = rows.withColumn("left", F.least(F.col("words"), F.col("share") - (F.col("turn") - 1) * F.col("words")))
     ends = F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each piece is a word and the blanks before it
@@ -122,7 +126,7 @@ def apply(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 ORACLE = """
 with raw as (
   select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::bigint as size,
-    ((('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint)::double + 0.5) / 4503599627370496.0 as u
+    ((('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 13))::bigint)::double + 0.5) / 4503599627370496.0 as u
   from documents
 ), quality as (
   select doc_id, case max(quality) when 1 then 2.0::double when 0 then 0.5::double else 1.0::double end as w from labels where doc_id is not null group by doc_id

@@ -2,6 +2,7 @@ import collections
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import mixing
 
@@ -62,13 +63,22 @@ def test_weights_draw_good_documents_first(spark):
 
 def test_apply(spark):
     rows = [(k, " w\n" * (k % 9 + 1), "en", "ab"[k % 2]) for k in range(50)] + [(77, None, "en", "a"), (78, "x" * 9 + " " + "y z " * 20_000, "en", "b")]
+    rows += [(None, f"null{k} " * 3, "en", "a") for k in range(20)] + [(3, "other text of three", "en", "a")]
     frame = docs(spark, rows)
-    mixed = mixing.mix(frame)
-    out = mixing.apply(frame, mixed)
+    out = mixing.apply(frame)
     assert out.columns == frame.columns
     words = collections.Counter()
     for r in out.collect():
         assert r.n_chars == len(r.text)
         words[r.doc_id] += len(r.text.split())
-    assert words == collections.Counter({r.doc_id: r.taken for r in mixed.collect() if r.taken})
-    assert mixing.mix(docs(spark, [])).count() == 0 and mixing.apply(docs(spark, []), mixing.mix(docs(spark, []))).count() == 0
+    mixed = collections.Counter()
+    for r in mixing.mix(frame).collect():
+        mixed[r.doc_id] += r.taken
+    assert words == +mixed and words[None] > 0
+    assert mixing.mix(docs(spark, [])).count() == 0 and mixing.apply(docs(spark, [])).count() == 0
+
+
+def test_rows_of_one_id_draw_apart(spark):
+    rows = [(None, f"text {k}", "en", "a") for k in range(300)] + [(5, f"words {k}", "en", "a") for k in range(300)]
+    drawn = docs(spark, rows).select(mixing.uniform(F.col("doc_id"), F.col("text"), "mix").alias("u")).distinct().count()
+    assert drawn == 600
