@@ -43,7 +43,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(0))  # no id: not held out, and no label either
     model = toxicity.fit(*toxicity.sample(docs, trusted_labels(spark, sf_dir).where(fold != 1)))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))

@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Words are tagged 0 or 1. Features of a word: the word and its prefixes, lower-cased and stripped of punctuation. The
-labels are per document, so training first finds the features that mark toxic documents (by document frequency), tags
+labels are per document, so tags are latent: training first finds the features that mark toxic documents (by document frequency), tags
 the words of toxic documents that have one, and then fits the field to those tags by gradient ascent on the
 conditional likelihood. Forward-backward marginals of the words with evidence give spans; their sum and maximum give
 the document's score through a logistic model fitted on the same sample.
@@ -117,17 +117,17 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 100, rate: float = 0.3
         return model
     number = {f: k for k, f in enumerate(kept)}
     marked = {w: [number[f] for f in fs if f in number] for w, fs in words.items()}
-    tokens, tags, ends = [], [], []
-    for document, label in zip(documents, toxic):
+    tokens, tags, places, n = [], [], [], 0
+    for document, label in zip(documents, toxic):  # each document begins a window of its own: no transition joins two
         has = [marked[w] for w in document]
         tokens += has
         tags += [int(bool(h) and label > 0) for h in has]
-        ends.append(len(tokens))
-    n = -(-len(tokens) // _WINDOW) * _WINDOW
-    y = np.zeros(n, dtype=np.int64)
-    y[: len(tags)] = tags
-    real = np.arange(n) < len(tags)
-    row = np.repeat(np.arange(len(tokens)), [len(h) for h in tokens])
+        places.append(np.arange(n, n + len(has)))
+        n += -(-len(has) // _WINDOW) * _WINDOW
+    at = np.concatenate([*places, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+    y, real = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    y[at], real[at] = tags, True
+    row = np.repeat(at, [len(h) for h in tokens])
     column = np.array([c for h in tokens for c in h], dtype=np.int64)
     y, real = y.reshape(-1, _WINDOW), real.reshape(-1, _WINDOW)
     some = np.zeros(n, dtype=bool)
@@ -226,11 +226,11 @@ class Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Texts and labels to train on: of each class the `most` labelled documents with the smallest hash of doc_id."""
+    """Texts and labels to train on: of each class the `most` labelled documents with the smallest hash of doc_id; of several texts with one doc_id the first in order."""
     ranked = labels.select("doc_id", "toxic").where("toxic is not null and doc_id is not null").withColumn("draw", F.xxhash64("doc_id"))
     parts = [ranked.where(F.col("toxic") == k).orderBy("draw", "doc_id").limit(most) for k in (0, 1)]
     chosen = F.broadcast(parts[0].union(parts[1]).select("doc_id", "toxic"))  # at most 2 * most rows
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy("doc_id").collect()
     return [r.text or "" for r in rows], np.array([r.toxic for r in rows])
 
 
