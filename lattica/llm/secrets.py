@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -47,10 +49,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs that may be secrets and that no base finding touches."""
+    """Runs that may be secrets and that no base finding touches (taken, sorted). Shorter runs and runs of letters or of digits alone never reach the network: most words of prose are such."""
+    starts = [a for a, _, _ in taken]
+    reach = list(itertools.accumulate((b for *_, b in taken), max))  # the furthest end among those that start first
     out = []
     for m in CANDIDATE.finditer(text):
-        if _MIXED.match(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in taken):
+        before = bisect.bisect_left(starts, m.end())
+        if not (before and reach[before - 1] > m.start()) and _MIXED.match(m[0]):
             out.append(m.span())
     return out
 

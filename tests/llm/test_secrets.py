@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from lattica.llm import secrets
 
@@ -15,6 +17,38 @@ def test_base_rules():
     assert spans == sorted(spans)
 
 
+def plain_base(text):
+    """The base rules as the contract words them."""
+    found = []
+    for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
+        if len(m[2]) >= 6:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def test_base_rules_on_random_texts():
+    draw = random.Random(12)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "ApiKey", "=", ":", " ", '"', "'", "abc", "123456", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "f", "\n", "é", "-", "/"]
+    for _ in range(20_000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(1, 18)))
+        assert secrets.base_spans(text) == plain_base(text), text
+
+
+def test_candidates_touch_no_base_span():
+    draw = random.Random(13)
+    for _ in range(2000):
+        text = " ".join(draw.choice(("token=abcdef1", "A1" * 10, "0f" * 13, "word", "sk_live_9aB3kLmN0pQrStUv")) for _ in range(draw.randint(1, 12)))
+        taken = secrets.base_spans(text)
+        want = [m.span() for m in secrets.CANDIDATE.finditer(text) if secrets._MIXED.match(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in taken)]
+        assert secrets.candidates(text, taken) == want
+    text = "token=abcdef1 sk_live_9aB3kLmN0pQrStUv " * 20_000
+    begin = time.process_time()
+    assert len(secrets.candidates(text, secrets.base_spans(text))) == 20_000
+    assert time.process_time() - begin < 3
+
+
 def test_ascii_case_only():
     assert secrets.base_spans("to\u212aen=abcdefgh pa\u017f\u017fword=abcdefgh") == [] and len(secrets.base_spans("ToKEN=abcdefgh")) == 1
 
