@@ -15,29 +15,35 @@ from lattica.llm.queries import tokenizer
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the robust outlier rules keep."""
+    """Documents that the robust outlier rules keep, each row by its own verdict; a null text fails the rules."""
     return outliers.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose shingles of five words link at a similarity of 0.8: the one with the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays.
+    Rows are told apart by a key of their own, so different texts with one doc_id, or without any, all have their say;
+    equal rows are copies like any other. A null doc_id counts as the largest. Documents without words stay.
     """
-    found = ngram_join.jaccard_components(docs, num=80, den=100, width=5)
-    heads = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(small_or_not(stored(heads, "heads")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    cells = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("key"), cells.alias("row")), "keyed")
+    found = ngram_join.jaccard_components(keyed.select(F.col("key").alias("doc_id"), "row.text"), num=80, den=100, width=5)
+    ranked = found.select(F.col("doc_id").alias("key"), "component_id").join(keyed.select("key", F.col("row.doc_id").cast("long").alias("id")), "key")
+    heads = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("head")).select("head.key")
+    return keyed.join(small_or_not(stored(heads, "heads")), "key", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced; n_chars counts the new text."""
+    """All documents, their secrets replaced; n_chars, if there is one, counts the new text."""
     out = secrets.redact(docs)
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them, the last of a source cut to its budget."""
-    return mixing.apply(docs, stored(mixing.mix(docs, mixing.quality_weights(spark, sf_dir)), "mixed"))
+    """Documents as often as the mixture takes them, row by row, the last of a source cut to its budget."""
+    return mixing.apply(docs, mixing.quality_weights(spark, sf_dir))
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
