@@ -231,7 +231,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, factor: float = 1.0
     sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each length of vectors
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards = {d: max(1, -(-n // max(LEAF, min(shard_rows, SHARD_BYTES // (8 * d))))) for d, n in sizes.items()}
+    shards = {d: max(1, -(-n // max(LEAF, min(shard_rows, SHARD_BYTES // (8 * d), max(2048, n // 64))))) for d, n in sizes.items()}  # a small table is shared out as well
     of = lambda numbers: F.element_at(F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair]), F.col("dim"))
     keyed = rows.withColumn("number", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), of(shards)).cast("int"))
     n = min(MOST_TASKS, sum(shards.values()))
