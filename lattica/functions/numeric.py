@@ -150,3 +150,36 @@ def log_likelihood(common: Column, a: Column, b: Column, everyone: Column) -> Co
 def coin(id: Column, a: int, b: int) -> Column:
     """0 or 1 for an id, for contracting stars."""
     return ((a * id + b) % 7907) % 2
+
+
+def draw(seed: int | str, *parts: Column | str) -> Column:
+    """A number in [0, 1) from the first 40 bits of the MD5 of seed:part:part..., which any SQL engine can repeat."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 10), 16, 10).cast("long") / float(1 << 40)
+
+
+def euclidean(xx: Column, yy: Column, xy: Column) -> Column:
+    """Distance of two vectors from their sums of squares and products."""
+    return F.sqrt(F.greatest(F.lit(0.0), xx + yy - 2 * xy))
+
+
+# sparse vectors: further operations
+
+
+def sparse_count(a: Column) -> Column:
+    """How many entries are not 0."""
+    return F.size(F.map_filter(a, lambda _, x: x != 0))
+
+
+def sparse_abs(a: Column) -> Column:
+    return F.transform_values(a, lambda _, x: F.abs(x))
+
+
+def sparse_times(a: Column, b: Column) -> Column:
+    """The element-wise product, on the entries that both have."""
+    return F.map_filter(F.map_zip_with(a, b, lambda _, x, y: x * y), lambda _, x: x.isNotNull())
+
+
+def sparse_set(a: Column, key: Column, value: Column) -> Column:
+    """a with one entry set."""
+    return F.map_concat(F.map_filter(a, lambda k, _: k != key), F.create_map(key, value))

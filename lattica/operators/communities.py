@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattica.graph import canonical, ids_of, proper, reverse
-from lattica.plans.store import stored
+from lattica.plans.store import Steps, stored
 
 from .components import connected
 
@@ -69,27 +74,61 @@ def co_training(pairs: DataFrame, positive: DataFrame, negative: DataFrame, alph
     return state.select(F.substring_index("id", ":", 1).alias("kind"), F.regexp_replace("id", "^[a-z]+:", "").alias("name"), F.col("p").alias("prob"))
 
 
-def core_numbers(edges: DataFrame, most_rounds: int = 500, vertices: DataFrame | None = None) -> DataFrame:
+#: Pairs of neighbours up to which one task ends the work on core numbers.
+ONE_TASK = 1_000_000
+
+
+def _peel(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and core from all rows (src, dst, n), both directions of each pair: vertices leave in the order of their open edges."""
+    parts = [[f.column(k).to_numpy() for k in range(3)] for f in frames]
+    if not parts:
+        return
+    src, dst, n = (np.concatenate(x) for x in zip(*parts))
+    ids, src = np.unique(src, return_inverse=True)
+    dst = np.searchsorted(ids, dst)
+    order = np.argsort(src, kind="stable")
+    dst, n, start = dst[order].tolist(), n[order].tolist(), np.searchsorted(src[order], np.arange(len(ids) + 1)).tolist()
+    open_edges = np.bincount(src, weights=np.array(n)[np.argsort(order, kind="stable")], minlength=len(ids)).astype(np.int64).tolist()
+    core, heap, k = [0] * len(ids), [(d, v) for v, d in enumerate(open_edges)], 0
+    heapq.heapify(heap)
+    while heap:
+        d, v = heapq.heappop(heap)
+        if core[v] or d != open_edges[v]:
+            continue
+        k = max(k, d)
+        core[v] = k
+        for at in range(start[v], start[v + 1]):
+            u = dst[at]
+            if not core[u]:
+                open_edges[u] -= n[at]
+                heapq.heappush(heap, (open_edges[u], u))
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(core, pa.int64())], ["id", "core"])
+
+
+def core_numbers(edges: DataFrame, vertices: DataFrame | None = None, one_task: int = ONE_TASK) -> DataFrame:
     """id and core: the k with which a vertex closes if, for k = 1, 2, ..., vertices with at most k incident open edges close again and again.
 
-    Parallel and reciprocal edges count separately; vertices without edges have core 1. Computed without peeling: a
-    vertex's core is the fixed point of taking, from its degree on, the largest h such that h of its edges lead to
-    values of h and more (Lu et al. 2016). Edges are summed by (vertex, value) first, so a hub costs one row per value.
+    Parallel and reciprocal edges count separately; vertices without edges have core 1. If a count proves that at most
+    `one_task` pairs of neighbours are there, one task peels them. Else a vertex's core is the fixed point of taking, from
+    its degree on, the largest h such that h of its edges lead to values of h and more (Lu et al. 2016), in as many rounds
+    as that takes; edges are summed by (vertex, value) first, so a hub costs one row per value.
     """
     both = proper(edges).select("src", "dst")
     both = stored(both.union(reverse(both)).groupBy("src", "dst").agg(F.count("*").alias("n")), "both")
-    state = stored(both.groupBy(F.col("dst").alias("id")).agg(F.sum("n").alias("core")), "cores")
-    falling = Window.partitionBy("id").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for _ in range(most_rounds):
-        near = both.join(state.select(F.col("id").alias("src"), F.col("core").alias("value")), "src").groupBy(F.col("dst").alias("id"), "value").agg(F.sum("n").alias("n"))
-        high = near.withColumn("upto", F.sum("n").over(falling)).groupBy("id").agg(F.max(F.least("value", "upto")).alias("h"))
-        new = stored(state.join(high, "id").select("id", F.least("core", "h").alias("core"), (F.col("h") < F.col("core")).alias("moved")), "cores")
-        state = new.select("id", "core")
-        if new.where("moved").limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     ids = vertices.select("id") if vertices is not None else ids_of(edges)
+    if both.count() <= one_task:
+        state = both.repartition(1).mapInArrow(_peel, "id long, core long")
+    else:
+        steps = Steps()
+        state = steps.keep(both.groupBy(F.col("dst").alias("id")).agg(F.sum("n").alias("core")), "cores")
+        falling = Window.partitionBy("id").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        while True:
+            near = both.join(state.select(F.col("id").alias("src"), F.col("core").alias("value")), "src").groupBy(F.col("dst").alias("id"), "value").agg(F.sum("n").alias("n"))
+            high = near.withColumn("upto", F.sum("n").over(falling)).groupBy("id").agg(F.max(F.least("value", "upto")).alias("h"))
+            new = steps.keep(state.join(high, "id").select("id", F.least("core", "h").alias("core"), (F.col("h") < F.col("core")).alias("moved")), "cores")
+            state = new.select("id", "core")
+            if new.where("moved").limit(1).count() == 0:
+                break
     return ids.join(state, "id", "left").select("id", F.greatest(F.coalesce("core", F.lit(1)), F.lit(1)).cast("int").alias("core"))
 
 

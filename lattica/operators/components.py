@@ -109,7 +109,7 @@ def percolation(edges: DataFrame, p: float | None = None, seed: int = 1) -> Data
     return sizes.select(kinds).groupBy("k.kind", "k.size").agg(F.count("*").alias("n"))
 
 
-def strongly_connected(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def strongly_connected(edges: DataFrame) -> DataFrame:
     """id and component, the smallest id of its strongly connected component.
 
     Rounds: vertices without in- or out-edges among the open ones are components of their own; in what is left, the
@@ -119,7 +119,7 @@ def strongly_connected(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     open_edges = stored(proper(edges).select("src", "dst").distinct(), "open")
     ids = stored(ids_of(edges), "ids")
     done = None
-    for _ in range(most_rounds):
+    while True:  # every round closes each color's root, so it ends
         while True:  # trim
             inner = open_edges.select(F.col("src").alias("id")).distinct().join(open_edges.select(F.col("dst").alias("id")).distinct(), "id")
             kept = stored(open_edges.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "open")
@@ -137,8 +137,6 @@ def strongly_connected(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         done = found if done is None else stored(done.union(found), "done")
         closed = found.select("id")
         open_edges = stored(inside.join(closed.withColumnRenamed("id", "src"), "src", "left_anti").join(closed.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "open")
-    else:
-        raise RuntimeError(f"not finished after {most_rounds} rounds")
     if done is None:
         return ids.select("id", F.col("id").alias("component"))
     return ids.join(done, "id", "left").withColumn("component", F.coalesce("component", "id"))

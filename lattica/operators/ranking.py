@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from lattica.graph import ids_of
 from lattica.plans.store import stored
-from lattica.plans.supersteps import Context, iterate
+from lattica.plans.supersteps import Context, iterate, sum_of_changes
 
 #: Probability of a jump, and of following an edge.
 JUMP, FOLLOW = 0.15, 0.85
 
 
-def pagerank(edges: DataFrame, supersteps: int = 3, variant: str = "plain", vertices: DataFrame | None = None, tolerance: float | None = None, start: DataFrame | None = None) -> DataFrame:
+def pagerank(edges: DataFrame, supersteps: int = 3, variant: str = "plain", vertices: DataFrame | None = None, tolerance: float | None = None, start: DataFrame | None = None, log: list[dict] | None = None) -> DataFrame:
     """id and rank after synchronous supersteps (a run of n iterations that counts its first pass has n - 1).
 
     plain: ranks start at 0.15 and become 0.15 + 0.85 * sum(rank / out-degree), where the first superstep receives
     1 / out-degree. normalized: ranks start at 1 and become 0.15 / N + 0.85 * sum. Mass of vertices without out-edges
     is lost in either. Parallel edges count as often as they occur. With a tolerance the loop ends when no rank moves
-    further; start (id, rank) resumes an earlier run. Edges are joined with ranks already divided by out-degree, and the
+    further; start (id, rank) resumes an earlier run; log, a list, gets each superstep's sum of changes. Edges are joined with ranks already divided by out-degree, and the
     same partitioning by src serves every superstep.
     """
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))
@@ -43,7 +43,7 @@ def pagerank(edges: DataFrame, supersteps: int = 3, variant: str = "plain", vert
 
     if supersteps == 0 and start is None and variant == "plain":
         return state.select("id", F.lit(JUMP).alias("rank"))
-    return iterate(state, step, supersteps, settled if tolerance is not None else None, every=2).select("id", "rank")
+    return iterate(state, step, supersteps, settled if tolerance is not None else None, every=2, measure=sum_of_changes("rank") if log is not None else None, log=log).select("id", "rank")
 
 
 def top(vertices: DataFrame, value: str, n: int = 20) -> DataFrame:

@@ -13,10 +13,12 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster sets it; where it is unset, as in tests, a temporary folder of this process."""
+    """spark.checkpoint.dir as the cluster sets it. Where it is unset and the master is local, as in tests, a temporary folder of this process; on a cluster that is an error, as executors do not share it."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="lattica-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -28,3 +30,20 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Steps:
+    """Stored tables of a loop: keep() stores one and removes those that are older than the last `most`, which nothing reads any more."""
+
+    def __init__(self, most: int = 2):
+        self._most, self._paths = most, []
+
+    def keep(self, df: DataFrame, name: str = "step") -> DataFrame:
+        spark = df.sparkSession
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self._paths.append(path)
+        while len(self._paths) > self._most:
+            old = spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(0))
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ derives the next state. Every step reads only the step before it, so results do
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lattica.graph import reverse
 
-from .store import stored
+from .store import Steps, stored
 
 
 def messages(edges: DataFrame, state: DataFrame, send: Column, combine: Callable[[Column], Column] = F.sum, alias: str = "message") -> DataFrame:
@@ -39,7 +40,7 @@ def active(changed: DataFrame, edges: DataFrame) -> DataFrame:
 
 @dataclass
 class Context:
-    """What a step knows: its number from 0, and how to end the loop after it. log holds one entry per step."""
+    """What a step knows: its number from 0, and how to end the loop after it. log has an entry for each step that is over: iteration, seconds and, if iterate() was given a measure, delta."""
 
     iteration: int = 0
     most: int = 0
@@ -58,19 +59,26 @@ def iterate(
     every: int = 3,
     before: Callable[[DataFrame, Context], None] | None = None,
     after: Callable[[DataFrame, Context], None] | None = None,
+    measure: Callable[[DataFrame, DataFrame], float] | None = None,
+    log: list[dict] | None = None,
 ) -> DataFrame:
     """Applies step at most `most` times, or until until(old, new) holds or the context is stopped.
 
-    The state is stored every `every` steps, or every step if it is compared, so plans stay short.
+    The state is stored every `every` steps, or every step if it is compared or measured, so plans stay short; of the
+    stored states the last two are kept. measure(old, new) gives a step's delta (see sum_of_changes); log, a list, gets
+    the context's entries.
     """
-    context = Context(most=most)
+    context, steps = Context(most=most, log=log if log is not None else []), Steps()
     for k in range(most):
         context.iteration = k
+        began = time.monotonic()
         if before:
             before(state, context)
         new = step(state, context)
-        if until or (k + 1) % every == 0:
-            new = stored(new, "state")
+        if until or measure or (k + 1) % every == 0:
+            new = steps.keep(new, "state")
+        entry = {"iteration": k, "delta": measure(state, new) if measure else None}
+        context.log.append(entry | {"seconds": time.monotonic() - began})
         if after:
             after(new, context)
         ended = context.stopped or (until is not None and until(state, new))
@@ -94,6 +102,16 @@ def unchanged(*columns: str) -> Callable[[DataFrame, DataFrame], bool]:
     return test
 
 
+def sum_of_changes(column: str) -> Callable[[DataFrame, DataFrame], float]:
+    """A measure for iterate(): the sum of the absolute changes of a column over all vertices."""
+
+    def measure(old: DataFrame, new: DataFrame) -> float:
+        both = new.select("id", F.col(column).alias("now")).join(old.select("id", F.col(column).alias("was")), "id")
+        return float(both.agg(F.sum(F.abs(F.col("now") - F.col("was")))).first()[0] or 0.0)
+
+    return measure
+
+
 @dataclass(frozen=True)
 class Kernel:
     """A functional vertex program: reset value, what a neighbour sends, how messages combine, what a vertex becomes.

@@ -6,6 +6,7 @@ a part by the mean quantity ordered. Doubles are rounded to six decimals on both
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from pyspark.sql.window import Window
 
 from lattica import graph as G
 from lattica.operators import communities, components, factors, items, metrics, models, ranking, tables
+from lattica.functions import numeric
 from lattica.plans import supersteps
+from lattica.plans.store import shared_dir
 from lattica.sources import generators, readers, sinks
 from lattica.streaming import dynamic
 
@@ -65,10 +68,20 @@ _RATINGS = """r as (select o_custkey as u, l_partkey as i, avg(l_quantity) as x
 t as (select * from r)"""
 
 
+def _draw(*parts: str) -> str:
+    """The draw() of lattica.functions.numeric in SQL; parts are SQL expressions, the first one the seed."""
+    return "(('0x' || substr(md5(" + " || ':' || ".join(parts) + "), 1, 10))::bigint::double / 1099511627776)"
+
+
 def _with(ctes: str, body: str, recursive: bool = False) -> str:
     return f"with {'recursive ' if recursive else ''}{ctes}{body}"
 
 
+def _place(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that executors share."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 # graphs: structure
 
 
@@ -181,6 +194,27 @@ _NORMALIZED = _pagerank_sql(3, "1.0::double", "0.15::double / (select count(*) f
 _PLAIN = _pagerank_sql(3, "1.0::double", "0.15::double")
 
 
+@_query("g_convergence", _PLAIN.rsplit(" select id", 1)[0] + ", ".join([""] + ["dl as (" + " union all ".join(f"select {k} as iteration, sum(abs(b.rank - a.rank)) as delta from p{k} a join p{k + 1} b using (id)" for k in range(3)) + ")"]) + " select iteration::bigint as iteration, round(delta, 6) as delta from dl")
+def _(s, d):
+    log = []
+    ranking.pagerank(edges(s, d), 3, log=log)
+    return s.createDataFrame([(x["iteration"], x["delta"]) for x in log], "iteration long, delta double").select("iteration", _r("delta", "delta"))
+
+
+@_query("g_hooks", _with(_E, " select id, 7::bigint as value from v"))
+def _(s, d):
+    """A step that adds 1, ended by its hook after the fifth of a hundred, on a state that was set anew before the first."""
+    state = G.ids_of(edges(s, d)).withColumn("value", F.lit(2).cast("long"))
+    seen = []
+    return supersteps.iterate(state, lambda now, _: now.withColumn("value", F.col("value") + 1), 100, before=lambda now, c: seen.append(c.iteration), after=lambda now, c: c.stop() if len(seen) == 5 else None)
+
+
+@_query("g_pagerank_resumed", _pagerank_sql(5, "1.0::double", "0.15::double"))
+def _(s, d):
+    e = edges(s, d)
+    return ranking.pagerank(e, 2, start=ranking.pagerank(e, 3)).select("id", _r("rank", "rank"))
+
+
 @_query("g_pagerank", _NORMALIZED)
 def _(s, d):
     return ranking.pagerank(edges(s, d), 3, "normalized").select("id", _r("rank", "rank"))
@@ -295,7 +329,17 @@ def _(s, d):
     return communities.triangles(edges(s, d))
 
 
-@_query("g_core_numbers")
+def _core_sql(rounds: int = 60) -> str:
+    """The h-index taken again and again; rounds after the fixed point change nothing."""
+    ctes = [_E, "nb as materialized (select src, dst, count(*) as n from (select src, dst from e union all select dst, src from e) group by all)", "c0 as materialized (select dst as id, sum(n) as core from nb group by 1)"]
+    for k in range(rounds):
+        ctes.append(f"""c{k + 1} as materialized (select id, least(max(least(value, upto)), any_value(core)) as core from (
+          select g.id, g.value, c.core, sum(g.n) over (partition by g.id order by g.value desc rows unbounded preceding) as upto
+          from (select dst as id, core as value, sum(n) as n from nb join c{k} on c{k}.id = src group by all) g join c{k} c on c.id = g.id) group by id)""")
+    return f"with {', '.join(ctes)} select id, greatest(core, 1)::int as core from c{rounds}"
+
+
+@_query("g_core_numbers", _core_sql())
 def _(s, d):
     return communities.core_numbers(edges(s, d))
 
@@ -362,28 +406,29 @@ def _(s, d):
     return generators.cubegrid(s, 10)
 
 
-@_query("gen_quadgrid")
+@_query("gen_quadgrid", """select id as src, id + 1 as dst from range(400) x(id) where id % 20 < 19 union all select id, id + 20 from range(400) x(id) where id < 380
+  union all select id, id + 2 from range(400) x(id) where id % 20 < 18 union all select id, id + 40 from range(400) x(id) where id < 360""")
 def _(s, d):
     return generators.quadgrid(s, 20)
 
 
-@_query("gen_erdos_renyi")
+@_query("gen_erdos_renyi", f"select case when {_draw("'1'", 'b', 'a')} < 0.5 then a else b end as src, case when {_draw("'1'", 'b', 'a')} < 0.5 then b else a end as dst from range(200) x(a), range(200) y(b) where a < b and {_draw("'1'", 'a', 'b')} < 0.05")
 def _(s, d):
     return generators.erdos_renyi(s, 200, 0.05)
 
 
-@_query("gen_random_weights")
+@_query("gen_random_weights", _with(_E, f" select src, dst, floor({_draw("'1'", 'src', 'dst')} * 100000000)::int as weight from e"))
 def _(s, d):
     return generators.random_weights(edges(s, d))
 
 
-@_query("gen_base_and_stream")
+@_query("gen_base_and_stream", _with(_E, f" select src, dst, case when {_draw("'1'", 'src', 'dst')} >= 0.5 then round({_draw("'2'", 'dst', 'src')}, 9) end as turn from e"))
 def _(s, d):
     base, later = generators.base_and_stream(edges(s, d))
-    return base.withColumn("turn", F.lit(None).cast("long")).union(later)
+    return base.withColumn("turn", F.lit(None).cast("double")).union(later.withColumn("turn", F.round("turn", 9)))
 
 
-@_query("gen_implicit_ratings")
+@_query("gen_implicit_ratings", f"select floor({_draw("'1'", 'id', "'user'")} * 1500)::bigint + 1 as \"user\", floor({_draw("'1'", 'id', "'item'")} * 2000)::bigint + 1 as item, 0.0::double as rating from range(1000) x(id)")
 def _(s, d):
     return generators.implicit_ratings(s, 1500, 2000, 1000)
 
@@ -654,6 +699,209 @@ def _(s, d):
     return items.recommend(users, e, users.select("user", F.col("user").alias("item")), 5).select("user", "item", _r("score", "score"), "rank")
 
 
+# reading and writing: each query writes text in the format, and reads it
+
+
+_IO = "from events where user_id <> event_id % 97"
+
+
+def _io(s, d) -> DataFrame:
+    """src, dst and value of each event."""
+    return G.proper(_table(s, d, "events").select(F.col("user_id").alias("src"), (F.col("event_id") % 97).alias("dst"), "value", "event_id"))
+
+
+def _text(rows: DataFrame, line, name: str) -> str:
+    place = _place(rows.sparkSession, name)
+    rows.select(line.alias("value")).write.text(place)
+    return place
+
+
+@_query("io_edge_list", f"select user_id as src, event_id % 97 as dst, round(value, 4) as value {_IO}")
+def _(s, d):
+    place = _place(s, "edges")
+    sinks.write_edges(_io(s, d).select("src", "dst", "value"), place)
+    s.createDataFrame([("# a comment",), ("% another",), ("",), ("5 5 1.0",), ("x y",)], "value string").write.mode("append").text(place)
+    return readers.edge_list(s, place).withColumn("value", F.round("value", 4))
+
+
+@_query("io_multi_value", f"select user_id as src, event_id % 97 as dst, case when event_id % 3 = 0 then [] else [(event_id % 7)::int, (event_id % 5)::int] end as \"values\" {_IO}")
+def _(s, d):
+    line = F.concat_ws(" ", "src", "dst", F.when(F.col("event_id") % 3 > 0, F.concat_ws(":", F.col("event_id") % 7, F.col("event_id") % 5)))
+    return readers.multi_value_edge_list(s, _text(_io(s, d), line, "multi"))
+
+
+_IO_DISTINCT = "select distinct user_id as src, event_id % 97 as dst from events where user_id <> event_id % 97"
+
+
+@_query("io_adjacency", _IO_DISTINCT)
+def _(s, d):
+    place = _place(s, "adjacency")
+    sinks.write_adjacency(_io(s, d).select("src", "dst").distinct(), place)
+    return readers.adjacency_list(s, place)
+
+
+@_query("io_cassovary", _IO_DISTINCT)
+def _(s, d):
+    place = _place(s, "cassovary")
+    sinks.write_cassovary(_io(s, d).select("src", "dst").distinct(), place)
+    return readers.cassovary(s, place)
+
+
+@_query("io_read_graph", "select * from (" + _IO_DISTINCT + ") where src <= 50 and dst <= 50")
+def _(s, d):
+    place = _place(s, "adjacency")
+    sinks.write_adjacency(_io(s, d).select("src", "dst").distinct(), place)
+    return readers.read_graph(s, place, "adjlist", max_vertex=50)
+
+
+@_query("io_metis", "select id as src, id + 1 as dst from range(299) x(id) union all select id, id + 7 from range(293) x(id)")
+def _(s, d):
+    lines = s.range(300).select((F.col("id") + 1).alias("at"), F.concat_ws(" ", *[F.when((F.col("id") + k >= 0) & (F.col("id") + k < 300), F.col("id") + k + 1) for k in (-7, -1, 1, 7)]).alias("value"))
+    place = _place(s, "metis")
+    s.createDataFrame([(0, "300 592")], "at long, value string").union(lines).repartition(1).sortWithinPartitions("at").select("value").write.text(place)
+    return readers.metis(s, place)
+
+
+@_query("io_converted", f"select user_id as src, event_id % 97 as dst, round(value, 4) as value {_IO}")
+def _(s, d):
+    place = _place(s, "edges")
+    sinks.write_edges(_io(s, d).select("src", "dst", "value"), place)
+    readers.converted(s, f"{place}/part-*", f"{place}-parquet")
+    return readers.converted(s, f"{place}/part-*", f"{place}-parquet").withColumn("value", F.round("value", 4))
+
+
+_BANNER = "%%MatrixMarket matrix coordinate real general"
+
+
+def _market(s, rows: DataFrame, *columns: str) -> str:
+    """A Matrix Market file whose entries have these columns; the size line counts them."""
+    size = rows.agg(F.concat_ws(" ", F.max(columns[0]), F.max(columns[1]), F.count("*")).alias("value"))
+    head = s.createDataFrame([(0, _BANNER), (1, "% a comment")], "at int, value string").union(size.select(F.lit(2), "value"))
+    place = _place(s, "market")
+    lines = head.union(rows.select(F.lit(3), F.concat_ws(" ", *columns)))
+    lines.repartition(1).sortWithinPartitions("at").select("value").write.text(place)
+    return place
+
+
+@_query("io_ratings", _with(_RATINGS, ' select u as "user", i as item, round(x, 4) as rating from r'))
+def _(s, d):
+    return readers.ratings(s, _market(s, ratings(s, d), "user", "item", "rating")).withColumn("rating", F.round("rating", 4))
+
+
+@_query("io_ratings_timed", _with(_RATINGS, ' select u as "user", i as item, (u % 4)::double as time, round(x, 4) as rating from r where u > 20'))
+def _(s, d):
+    rows = ratings(s, d).withColumn("time", F.col("user") % 4)
+    return readers.in_range(readers.ratings(s, _market(s, rows, "user", "item", "time", "rating"), fourth="time").withColumn("rating", F.round("rating", 4)), "user", 21, 1 << 40)
+
+
+@_query("io_ratings_and_similarity", _with(_RATINGS, " select distinct i as item_i, i % 13 + 1 as item_j, 0.5::double as sim from r where i <> i % 13 + 1 and i % 13 + 1 in (select i from r)"))
+def _(s, d):
+    r = ratings(s, d)
+    pairs = r.select("item").distinct().select("item", (F.col("item") % 13 + 1).alias("other"), F.lit(0.5).alias("sim")).union(s.createDataFrame([(1 << 30, 1, 0.5)], "item long, other long, sim double"))
+    return readers.ratings_and_similarity(s, _market(s, r, "user", "item", "rating"), _market(s, pairs, "item", "other", "sim"))[1]
+
+
+@_query("io_matrix_size", _with(_RATINGS, " select max(u) as height, max(i) as width, count(*) as entries from r"))
+def _(s, d):
+    size = readers.matrix_size(s, _market(s, ratings(s, d), "user", "item", "rating"))
+    return s.createDataFrame([size], "height long, width long, entries long")
+
+
+@_query("io_matrix", f"select user_id as row, event_id as col, round(value, 4) as value {_IO}")
+def _(s, d):
+    place = _place(s, "matrix")
+    sinks.write_matrix(_io(s, d).select(F.col("src").alias("row"), F.col("event_id").alias("col"), "value"), place, 10_000, 1 << 40)
+    return readers.matrix(s, f"{place}/*").withColumn("value", F.round("value", 4))
+
+
+@_query("io_matrix_dense", "select id % 40 as row, id // 40 as col, case when (id % 40) % 3 = (id // 40) % 3 then ((id % 40) * 31 + id // 40)::double else 0.0::double end as value from range(1200) x(id)")
+def _(s, d):
+    place = _place(s, "dense")
+    cells = s.range(1200).select((F.col("id") % 40).alias("row"), F.expr("id div 40").alias("col")).where("row % 3 = col % 3").withColumn("value", (F.col("row") * 31 + F.col("col")).cast("double"))
+    sinks.write_dense(cells, place, 40, 30)
+    return readers.matrix(s, place)
+
+
+@_query("io_vector", "select event_id as row, 0::bigint as col, round(value, 4) as value from events")
+def _(s, d):
+    place, e = _place(s, "vector"), _table(s, d, "events")
+    sinks.write_vector(e.select(F.col("event_id").alias("id"), "value"), place, 1 << 40)
+    return readers.matrix(s, f"{place}/*").withColumn("value", F.round("value", 4))
+
+
+@_query("io_scalar", "select 0::bigint as row, 0::bigint as col, count(*)::double as value from events")
+def _(s, d):
+    place = _place(s, "scalar")
+    sinks.write_scalar(s, _table(s, d, "events").count(), place)
+    return readers.matrix(s, f"{place}/*")
+
+
+@_query("io_table", f"select user_id as src, event_id % 97 as dst, value {_IO}")
+def _(s, d):
+    place = _place(s, "table")
+    sinks.write_table(_io(s, d).select("src", "dst", "value"), place)
+    return s.read.parquet(place)
+
+
+@_query("io_features", "select user_id::varchar as \"from\", event_type as \"to\", round(value, 4) as val, (event_id % 5)::varchar as f3, round(value * 2, 4) as r4 from events")
+def _(s, d):
+    line = F.concat_ws(",", "user_id", "event_type", "value", F.col("event_id") % 5, F.col("value") * 2)
+    rows = readers.feature_rows(s, _text(_table(s, d, "events"), line, "features"), features=(3,), real_features=(4,))
+    return rows.withColumn("val", F.round("val", 4)).withColumn("r4", F.round("r4", 4))
+
+
+@_query("io_sparse_rows", "select user_id::varchar as \"from\", event_type as \"to\", round(value, 4) as val, 1.0::double as a, (event_id % 5)::double as b from events")
+def _(s, d):
+    line = F.concat_ws(" ", "user_id", "event_type", "value", F.lit("a"), F.concat(F.lit("b:"), F.col("event_id") % 5))
+    rows = readers.sparse_rows(s, _text(_table(s, d, "events"), line, "sparse"))
+    return rows.select("from", "to", F.round("val", 4).alias("val"), F.col("features")["a"].alias("a"), F.col("features")["b"].alias("b"))
+
+
+@_query("io_node_features", "select user_id::varchar as node, [event_type, 'x'] as features from events")
+def _(s, d):
+    return readers.node_features(s, _text(_table(s, d, "events"), F.concat_ws("\t", "user_id", "event_type", F.lit("x")), "nodes"))
+
+
+# functions
+
+
+_VEC = "select vec_id, embedding::double[] as a, list_transform(embedding, lambda x, i: x * i)::double[] as b from embeddings"
+
+
+@_query("f_vectors", f"""with x as ({_VEC}) select vec_id, round(list_dot_product(a, b), 6) as dot, round(list_sum(a), 6) as total, round(sqrt(list_dot_product(a, a)), 6) as norm,
+  round(sqrt(list_dot_product(a, a) + list_dot_product(b, b) - 2 * list_dot_product(a, b)), 3) as far, round(list_sum(list_transform(range(1, len(a) + 1), lambda i: a[i] * b[i] * a[i])), 6) as dot3,
+  round(list_sum(a[1:3]), 6) as head, round(list_sum(a[-2:]), 6) as tail, round(list_sum(a[3:4]), 6) as mid, round(list_sum(list_transform(range(1, len(a) + 1), lambda i: a[i] * (len(a) + 1 - i))), 6) as running,
+  round(list_sum(a) * list_sum(b), 6) as outer_sum, round(list_sum(a) * 2 + list_sum(b) - list_sum(a), 6) as mixed, list_transform(list_grade_up(a), lambda i: (i - 1)::int) as places from x""")
+def _(s, d):
+    e = _table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    e = e.withColumn("b", F.transform("a", lambda x, i: x * (i + 1)))
+    a, b, n = F.col("a"), F.col("b"), numeric
+    return e.select(
+        "vec_id", _r(n.dot(a, b), "dot"), _r(n.total(a), "total"), _r(n.norm(a), "norm"), F.round(n.euclidean(n.dot(a, a), n.dot(b, b), n.dot(a, b)), 3).alias("far"), _r(n.dot3(a, b, a), "dot3"),
+        _r(n.total(n.head(a, 3)), "head"), _r(n.total(n.tail(a, 2)), "tail"), _r(n.total(n.mid(a, 2, 2)), "mid"), _r(n.total(n.running_sum(a)), "running"),
+        _r(n.total(F.transform(n.outer(a, b), n.total)), "outer_sum"), _r(n.total(n.minus(n.plus(n.scaled(a, 2.0), b), a)), "mixed"), n.sort_index(a).alias("places"),
+    )
+
+
+@_query("f_scalars", """select event_id, round(1 / (1 + exp(-x)), 6) as sigmoid, round(exp(-x * x / 2) / sqrt(2 * pi()), 6) as density, round(least(greatest(x, -1), 1), 6) as clamped, try_cast(event_type as double) as parsed,
+  round(x * (0.5 + x), 6) as poly from (select event_id, event_type, value / 100 - 0.5 as x from events)""")
+def _(s, d):
+    e = _table(s, d, "events").select("event_id", "event_type", (F.col("value") / 100 - 0.5).alias("x"))
+    x = F.col("x")
+    return e.select("event_id", _r(numeric.sigmoid(x), "sigmoid"), _r(numeric.normal_density(x), "density"), _r(numeric.clamp(x, -1.0, 1.0), "clamped"), F.col("event_type").try_cast("double").alias("parsed"), _r(x * (0.5 + x), "poly"))
+
+
+@_query("f_sparse", """select event_id, round(value * 2 + 3 * (event_id % 2), 6) as dot, round(value * value + (event_id % 2) * 9, 6) as squares, round(value - 2, 6) as minus_a, case when event_id % 2 = 0 then 1 else 2 end - (value = 0)::int as entries,
+  round(value * 2, 6) as times_a, round(abs(value), 6) as abs_a, 5.0::double as set_c from events""")
+def _(s, d):
+    e = _table(s, d, "events").select("event_id", F.create_map(F.lit("a"), F.col("value"), F.lit("b"), 3.0 * (F.col("event_id") % 2)).alias("x"), F.create_map(F.lit("a"), F.lit(2.0), F.lit("b"), F.lit(1.0), F.lit("z"), F.lit(1.0)).alias("y"))
+    x, y, n = F.col("x"), F.col("y"), numeric
+    return e.select(
+        "event_id", _r(n.sparse_dot(x, y), "dot"), _r(n.sparse_sum_squares(x), "squares"), _r(n.sparse_minus(x, y)["a"], "minus_a"), n.sparse_count(x).alias("entries"),
+        _r(n.sparse_times(x, y)["a"], "times_a"), _r(n.sparse_abs(x)["a"], "abs_a"), n.sparse_set(x, F.lit("c"), F.lit(5.0))["c"].alias("set_c"),
+    )
+
+
 # tables and text
 
 
@@ -716,6 +964,12 @@ def _(s, d):
     return tables.top_k_lists(rows, 3, "to")
 
 
+@_query("t_sorted_pairs", "select row_number() over (order by user_id, event_id, value desc) as at, user_id as item_i, event_id as item_j, value as sim from events")
+def _(s, d):
+    pairs = tables.sorted_pairs(_table(s, d, "events").select(F.col("user_id").alias("item_i"), F.col("event_id").alias("item_j"), F.col("value").alias("sim")))
+    return pairs.select((F.row_number().over(Window.orderBy("item_i", "item_j", F.desc("sim")))).cast("long").alias("at"), "item_i", "item_j", "sim")
+
+
 @_query("t_cumulative", "select event_id, round(sum(value) over (partition by user_id order by event_id), 4) as cumulative from events")
 def _(s, d):
     return tables.cumulative(_table(s, d, "events"), "event_id", "value", ["user_id"]).select("event_id", F.round("cumulative", 4).alias("cumulative"))
@@ -757,12 +1011,12 @@ def _(s, d):
     return tables.adjacency_of_names(_table(s, d, "events").select(text.alias("text")))[0]
 
 
-@_query("t_fold")
+@_query("t_fold", _with(_RATINGS, f' select u as "user", i as item from r where floor({_draw("'fold'", 'u', 'i')} * 5) = 1'))
 def _(s, d):
     return readers.fold(ratings(s, d), ["user", "item"], 5, 1, held_out=True).select("user", "item")
 
 
-@_query("t_given_n")
+@_query("t_given_n", _with(_RATINGS, f' select u as "user", i as item from r qualify count(*) over (partition by u) >= 10 and row_number() over (partition by u order by {_draw("'1'", 'u', 'i')}, i) <= 5'))
 def _(s, d):
     return readers.given_n(ratings(s, d), 5, 10)[0].select("user", "item")
 
@@ -783,18 +1037,41 @@ def _(s, d):
 # streams
 
 
-@_query("s_pagerank", _PLAIN)
+def _resumed_sql(batches: int = 3, supersteps: int = 2) -> str:
+    """PageRank resumed after each batch of edges and once more at the end."""
+    ctes, last = [_E, "parts as (select src, dst, (src * 31 + dst * 17) % 5 as m from e)"], None
+    for b in [*range(1, batches + 1), batches + 1]:
+        top = 1 + min(b, batches)
+        ctes += [f"e{b} as (select src, dst from parts where m <= {top})", f"o{b} as (select src, count(*) as n from e{b} group by 1)", f"v{b} as (select src as id from e{b} union select dst from e{b})"]
+        ctes.append(f"r{b}_0 as (select v{b}.id, {'1.0::double' if last is None else 'coalesce(rank, 0.15)'} as rank from v{b} {'' if last is None else f'left join {last} using (id)'})")
+        for k in range(supersteps):
+            ctes.append(f"r{b}_{k + 1} as (select v{b}.id, 0.15 + 0.85 * coalesce(s, 0) as rank from v{b} left join (select dst, sum(rank / n) as s from e{b} join o{b} using (src) join r{b}_{k} on id = src group by dst) on dst = v{b}.id)")
+        last = f"r{b}_{supersteps}"
+    return f"with {', '.join(ctes)} select id, round(rank, 6) as rank from {last}"
+
+
+@_query("s_pagerank", _resumed_sql())
 def _(s, d):
-    from lattica.plans.store import shared_dir
-    import uuid
+    every = edges(s, d).withColumn("m", (F.col("src") * 31 + F.col("dst") * 17) % 5)
+    place = _place(s, "stream")
+    for k in (2, 3, 4):  # files in the order of their arrival
+        every.where(F.col("m") == k).select("src", "dst").coalesce(1).write.mode("append").parquet(place)
+    ranks, _ = dynamic.streaming_pagerank(s, every.where("m < 2").select("src", "dst"), dynamic.edge_stream(s, place), supersteps=2, final_supersteps=2, most_parts=2)
+    return ranks.select("id", _r("rank", "rank"))
+
 
-    base, later = generators.base_and_stream(edges(s, d), 0.5)
-    place = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
-    later.select("src", "dst").repartition(3).write.parquet(place)
+@_query("s_compaction", _with(_E, " select src, dst from e where (src * 31 + dst * 17) % 5 <> 3"))
+def _(s, d):
+    every = edges(s, d).withColumn("m", (F.col("src") * 31 + F.col("dst") * 17) % 5)
     graph = dynamic.DynamicGraph(s)
-    graph.add(base, "base")
-    graph.follow(dynamic.edge_stream(s, place), lambda now, n: None).awaitTermination()
-    return ranking.pagerank(graph.edges(), 3).select("id", _r("rank", "rank"))
+    for k in range(5):
+        graph.add(every.where(F.col("m") == k), f"batch-{k}")
+        if k == 3:
+            graph.delete(every.where("m = 3"), "gone")
+            graph.compact()
+    graph.add(every.where("m = 2"), "batch-2")  # a batch that is retried after its compaction
+    graph.compact()
+    return dynamic.DynamicGraph(s, graph.path).edges()  # as a restarted driver finds it
 
 
 @_query("s_windowed_counts", "select time_bucket(interval '6 hours', ts) as start, time_bucket(interval '6 hours', ts) + interval '6 hours' as \"end\", event_type, count(*) as n from events group by 1, 2, 3")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions.numeric import draw
+
 
 def _edges(rows: DataFrame, *pairs: tuple[str, str, str]) -> DataFrame:
     """pairs: source, target and condition as SQL expressions over rows."""
@@ -40,25 +42,23 @@ def quadgrid(spark: SparkSession, n: int) -> DataFrame:
 def erdos_renyi(spark: SparkSession, n: int, p: float, seed: int = 1) -> DataFrame:
     """Each of the n(n-1)/2 pairs with probability p, in a random direction. Pairs come from row numbers, not from a product of two tables."""
     rows = spark.range(n).select(F.col("id").alias("a"), F.explode(F.sequence(F.col("id"), F.lit(n - 1))).alias("b")).where("a < b")
-    draw = F.pmod(F.xxhash64("a", "b", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    turn = F.pmod(F.xxhash64("b", "a", F.lit(seed)), F.lit(2)) == 0
-    return rows.where(draw < p).select(F.when(turn, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(turn, F.col("b")).otherwise(F.col("a")).alias("dst"))
+    turn = draw(seed, "b", "a") < 0.5
+    return rows.where(draw(seed, "a", "b") < p).select(F.when(turn, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(turn, F.col("b")).otherwise(F.col("a")).alias("dst"))
 
 
 def random_weights(edges: DataFrame, below: int = 100_000_000, seed: int = 1) -> DataFrame:
     """edges with an integer weight from 0 to below - 1."""
-    return edges.withColumn("weight", F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(below)).cast("int"))
+    return edges.withColumn("weight", F.floor(draw(seed, "src", "dst") * below).cast("int"))
 
 
 def base_and_stream(edges: DataFrame, share: float = 0.5, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """Edges that are there from the start, and the rest with `turn`, a random order of arrival."""
-    draw = F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(1 << 40))
-    base = draw < int(share * (1 << 40))
-    return edges.where(base), edges.where(~base).withColumn("turn", F.xxhash64("dst", "src", F.lit(seed + 1)))
+    base = draw(seed, "src", "dst") < share
+    return edges.where(base), edges.where(~base).withColumn("turn", draw(seed + 1, "dst", "src"))
 
 
 def implicit_ratings(spark: SparkSession, users: int, items: int, n: int, value: float = 0.0, seed: int = 1, weight: float | None = None) -> DataFrame:
     """n user-item pairs drawn uniformly (ids from 1), all with one rating, for training on what was not rated."""
-    draw = lambda k, size: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(size)) + 1).alias(("user", "item")[k])
-    rows = spark.range(n).select(draw(0, users), draw(1, items), F.lit(value).alias("rating"))
+    pick = lambda name, size: (F.floor(draw(seed, "id", F.lit(name)) * size) + 1).cast("long").alias(name)
+    rows = spark.range(n).select(pick("user", users), pick("item", items), F.lit(value).alias("rating"))
     return rows if weight is None else rows.withColumn("weight", F.lit(weight))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattica.functions.numeric import draw
+
 _GAP = r"[\t, ]+"
 
 
@@ -118,11 +120,12 @@ def binary_edge_list(spark: SparkSession, path: str, value_type: str | None = No
 FORMATS = {"edgelist": edge_list, "multivalueedgelist": multi_value_edge_list, "adjlist": adjacency_list, "cassovary": cassovary, "metis": metis, "binedgelist": binary_edge_list}
 
 
-def read_graph(spark: SparkSession, path: str, format: str = "edgelist", **options) -> DataFrame:
-    """Edges in any of FORMATS."""
+def read_graph(spark: SparkSession, path: str, format: str = "edgelist", max_vertex: int | None = None, **options) -> DataFrame:
+    """Edges in any of FORMATS; with max_vertex those alone whose ends do not exceed it."""
     if format not in FORMATS:
         raise ValueError(f"unknown format {format!r}; known: {', '.join(FORMATS)}")
-    return FORMATS[format](spark, path, **options)
+    edges = FORMATS[format](spark, path, **options)
+    return edges if max_vertex is None else edges.where((F.col("src") <= max_vertex) & (F.col("dst") <= max_vertex))
 
 
 def converted(spark: SparkSession, path: str, target: str, format: str = "edgelist", **options) -> DataFrame:
@@ -185,9 +188,23 @@ def similarity(spark: SparkSession, path: str) -> DataFrame:
     return ratings(spark, path, allow_zeros=True).select(F.col("user").alias("item_i"), F.col("item").alias("item_j"), F.col("rating").alias("sim")).where("item_i <> item_j")
 
 
+def ratings_and_similarity(spark: SparkSession, ratings_path: str, similarity_path: str) -> tuple[DataFrame, DataFrame]:
+    """Ratings and the similarities of their items, those alone whose items both have been rated."""
+    rated, pairs = ratings(spark, ratings_path), similarity(spark, similarity_path)
+    known = rated.select("item").distinct()
+    for side in ("item_i", "item_j"):
+        pairs = pairs.join(known.withColumnRenamed("item", side), side, "left_semi")
+    return rated, pairs.select("item_i", "item_j", "sim")
+
+
+def in_range(rows: DataFrame, column: str, start: int, end: int) -> DataFrame:
+    """Rows whose column is in [start, end)."""
+    return rows.where((F.col(column) >= start) & (F.col(column) < end))
+
+
 def matrix(spark: SparkSession, path: str) -> DataFrame:
     """A dense (array) or sparse (coordinate) Matrix Market file as row, col (from 0), value; dense ones go by columns."""
-    banner = (spark.read.text(path).first() or [""])[0].lower()
+    banner = (spark.read.text(path).where(F.lower("value").startswith("%%matrixmarket")).first() or [""])[0].lower()  # of several files one has it
     if "coordinate" in banner:
         return _coordinates(spark, path).select((F.get("p", F.lit(0)).cast("long") - 1).alias("row"), (F.get("p", F.lit(1)).cast("long") - 1).alias("col"), F.get("p", F.lit(2)).cast("double").alias("value"))
     size = spark.read.text(path).where(~F.col("value").startswith("%")).first()
@@ -233,12 +250,12 @@ def degree_of(degrees: DataFrame, vertex: int) -> DataFrame:
 
 def fold(rows: DataFrame, keys: list[str], k: int, which: int, held_out: bool = False) -> DataFrame:
     """k-fold split by a hash of the keys: the rows outside fold `which`, or those in it."""
-    inside = F.pmod(F.xxhash64(*keys), F.lit(k)) == which
+    inside = F.floor(draw("fold", *keys) * k) == which
     return rows.where(inside if held_out else ~inside)
 
 
 def given_n(rows: DataFrame, given: int, least: int = 0, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """Train and test: `given` random items of each user for training; users with fewer than `least` rows go."""
-    order = Window.partitionBy("user").orderBy(F.xxhash64("user", "item", F.lit(seed)), "item")
+    order = Window.partitionBy("user").orderBy(draw(seed, "user", "item"), "item")
     ranked = rows.withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("user"))).where(F.col("n") >= least)
     return ranked.where(F.col("rank") <= given).drop("rank", "n"), ranked.where(F.col("rank") > given).drop("rank", "n")

@@ -35,6 +35,15 @@ def write_matrix(rows: DataFrame, path: str, height: int, width: int) -> None:
     rows.select(F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, "value").alias("value")).write.mode("overwrite").text(f"{path}/entries")
 
 
+def write_dense(rows: DataFrame, path: str, height: int, width: int) -> None:
+    """row, col (from 0), value as a dense Matrix Market file by columns: missing entries are 0. One file, as the format asks for one order."""
+    spark = rows.sparkSession
+    cells = spark.range(height * width).select((F.col("id") % height).alias("row"), F.expr(f"id div {height}").alias("col"), (F.col("id") + 2).alias("at"))
+    values = cells.join(rows, ["row", "col"], "left").select("at", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).cast("string").alias("value"))
+    head = spark.createDataFrame([(0, "%%MatrixMarket matrix array real general"), (1, f"{height} {width}")], "at long, value string")
+    head.union(values).repartition(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
+
+
 def write_vector(rows: DataFrame, path: str, length: int) -> None:
     """id, value as one column."""
     write_matrix(rows.select(F.col("id").alias("row"), F.lit(0).alias("col"), "value"), path, length, 1)

@@ -228,3 +228,40 @@ def test_deletion_and_compaction(spark):
     assert sorted(map(tuple, graph.edges().collect())) == want and graph.should_compact()
     graph.compact()
     assert sorted(map(tuple, graph.edges().collect())) == want and not graph.should_compact()
+
+
+def test_core_numbers_of_long_chains_and_both_ways(spark):
+    chain = [(k, k + 1) for k in range(3000)]
+    assert set(of(communities.core_numbers(frame(spark, chain))).values()) == {1}
+    draw = random.Random(6)
+    rows = [(draw.randint(0, 40), draw.randint(0, 40)) for _ in range(260)] + [(k, k + 1) for k in range(100, 108)]
+    rows = [r for r in rows if r[0] != r[1]]
+    assert of(communities.core_numbers(frame(spark, rows))) == of(communities.core_numbers(frame(spark, rows), one_task=0))
+
+
+def test_thirty_batches_with_compactions_and_retries(spark):
+    graph, want = dynamic.DynamicGraph(spark), []
+    for k in range(30):
+        rows = [(k, k + 1), (k, 100 + k)]
+        want += rows
+        graph.add(frame(spark, rows), f"batch-{k}")
+        if graph.should_compact(6):
+            graph.compact()
+            graph.add(frame(spark, rows), f"batch-{k}")  # retried after its compaction: counts once
+            graph = dynamic.DynamicGraph(spark, graph.path)  # as a restarted driver finds it
+    graph.add(frame(spark, [(29, 30), (29, 129)]), "batch-29")
+    assert sorted(map(tuple, graph.edges().collect())) == sorted(want)
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from lattica.plans import store
+
+    class Fake:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        store.shared_dir(Fake)
