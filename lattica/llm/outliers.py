@@ -127,28 +127,24 @@ def _at_share(counts: DataFrame, keys: list[str], share: float) -> DataFrame:
 
 
 def _distance() -> Column:
-    """The squared Mahalanobis distance from m_* under the scatter whose Cholesky factors are l_*_*."""
-    total, solved = F.lit(0.0), []
-    for i, n in enumerate(_NAMES):
-        y = F.col(n) - F.col(f"m_{n}")
-        for j in range(i):
-            y = y - F.col(f"l_{i}_{j}") * solved[j]
-        solved.append(y / F.col(f"l_{i}_{i}"))
-        total = total + solved[i] * solved[i]
-    return total
+    """The squared Mahalanobis distance from m_* under the scatter whose inverse Cholesky factor is w_*_*."""
+    solved = [" + ".join(f"w_{i}_{j} * ({_NAMES[j]} - m_{_NAMES[j]})" for j in range(i + 1)) for i in range(len(_NAMES))]
+    return F.expr(" + ".join(f"({y}) * ({y})" for y in solved))
 
 
 def _factors(estimates: DataFrame) -> DataFrame:
-    """Adds Cholesky's factors l_i_j of the scatter c_i_j, step by step, and the determinant's logarithm."""
-    k = len(_NAMES)
+    """g, s, m_*, the inverse w_i_j of the Cholesky factor of the scatter c_i_j, and size, the determinant's logarithm. Each column may use those before it."""
+    k, steps = len(_NAMES), []
+    for i in range(k):
+        for j in range(i + 1):
+            value = f"c_{i}_{j}" + "".join(f" - l_{i}_{m} * l_{j}_{m}" for m in range(j))
+            steps.append(f"sqrt({value}) as l_{i}_{j}" if i == j else f"({value}) / l_{j}_{j} as l_{i}_{j}")
     for i in range(k):
         for j in range(i + 1):
-            value = F.col(f"c_{i}_{j}")
-            for m in range(j):
-                value = value - F.col(f"l_{i}_{m}") * F.col(f"l_{j}_{m}")
-            estimates = estimates.withColumn(f"l_{i}_{j}", F.sqrt(value) if i == j else value / F.col(f"l_{j}_{j}"))
-    size = sum((2 * F.log(f"l_{i}_{i}") for i in range(k)), F.lit(0.0)).alias("size")
-    return estimates.select("g", "s", *[f"m_{n}" for n in _NAMES], *[f"l_{i}_{j}" for i in range(k) for j in range(i + 1)], size)
+            steps.append(f"1 / l_{i}_{i} as w_{i}_{i}" if i == j else f"-({' + '.join(f'l_{i}_{m} * w_{m}_{j}' for m in range(j, i))}) / l_{i}_{i} as w_{i}_{j}")
+    steps.append(" + ".join(f"2 * ln(l_{i}_{i})" for i in range(k)) + " as size")
+    whole = estimates.selectExpr("g", "s", *[f"m_{n}" for n in _NAMES], *steps)
+    return whole.select("g", "s", *[f"m_{n}" for n in _NAMES], *[f"w_{i}_{j}" for i in range(k) for j in range(i + 1)], "size")
 
 
 def _estimate(inner: DataFrame, share: float) -> DataFrame:
@@ -218,7 +214,7 @@ def judge(docs: DataFrame, extra: bool = False) -> DataFrame:
     rows = statistics(docs, extra)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = stored(rows.withColumn("base_failed", failed).withColumn("row", F.monotonically_increasing_id()), "statistics")
-    far = distances(rows.where("not base_failed"))
+    far = small_or_not(stored(distances(rows.where("not base_failed")), "distances"))
     out = rows.join(far, "row", "left")  # row numbers are in the stored table: they do not change
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUT)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2", *(["document"] if extra else []))
@@ -272,13 +268,15 @@ def oracle() -> str:
         for i, j in pairs:
             value = f"c{i}{j}" + "".join(f" - l{i}{m} * l{j}{m}" for m in range(j))
             inner = f"select *, {f'sqrt({value})' if i == j else f'({value}) / l{j}{j}'} as l{i}{j} from ({inner})"
+        for i in range(k):
+            row = [f"1 / l{i}{i} as w{i}{j}" if i == j else f"-({' + '.join(f'l{i}{m} * w{m}{j}' for m in range(j, i))}) / l{i}{i} as w{i}{j}" for j in range(i + 1)]
+            inner = f"select *, {', '.join(row)} from ({inner})"
         ctes.append(f"l{name} as materialized (select *, {' + '.join(f'2 * ln(l{i}{i})' for i in range(k))} as size from ({inner}))")
 
     def far(table: str, estimate: str, on: str, columns: str) -> str:
         inner = f"select {columns}, e.* exclude (g, s) from {table} x join {estimate} e on {on}"
-        for i in range(k):
-            inner = f"select *, (x{i} - m{i}{''.join(f' - l{i}{j} * y{j}' for j in range(i))}) / l{i}{i} as y{i} from ({inner})"
-        return f"select *, {' + '.join(f'y{i} * y{i}' for i in range(k))} as d2 from ({inner})"
+        solved = [" + ".join(f"w{i}{j} * (x{j} - m{j})" for j in range(i + 1)) for i in range(k)]
+        return f"select *, {' + '.join(f'({y}) * ({y})' for y in solved)} as d2 from ({inner})"
 
     def estimated(share: float, start: str, rows: str) -> str:
         cs = [f"covar_pop(x{i}, x{j}) * {_consistency(share)!r}{f' + {floors[i] ** 2!r}' if i == j else ''} as c{i}{j}" for i, j in pairs]
