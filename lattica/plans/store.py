@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_RECORDS: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,9 +32,28 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """df, written and read back: later steps start from files, which survive lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for record in _RECORDS:
+        record.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that are stored while this is open."""
+    paths: list[str] = []
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS.remove(paths)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 class Steps:
     """Stored tables of a loop: keep() stores one and removes those that are older than the last `most`, which nothing reads any more."""
 
@@ -44,6 +66,5 @@ class Steps:
         df.write.parquet(path)
         self._paths.append(path)
         while len(self._paths) > self._most:
-            old = spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(0))
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+            remove(spark, self._paths.pop(0))
         return spark.read.schema(df.schema).parquet(path)
