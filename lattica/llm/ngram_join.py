@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 
 from ._spark import components, partitions, small_or_not, stored
 from ._text import batches, shingle_sets
+from .tokens import forget
 
 #: Bytes of text in one block of a family.
 BLOCK_BYTES = 3 << 20
@@ -49,6 +50,7 @@ def required(n, num: int, den: int):
 
 def _profile(width: int, num: int, den: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for frame in frames:
             ids = frame.column(0)
             texts = [(t or "").encode() for t in frame.column(1).to_pylist()]
@@ -117,6 +119,7 @@ def _product(width: int, num: int, den: int):
         return [(group[x][0], group[y][0]) for x, y in pairs]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         task, group = None, []
         for frame in frames:
             out: list[tuple[int, int]] = []

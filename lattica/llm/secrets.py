@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import forget
+
 # The base rules.
 ASSIGN = re.compile(r"""(?a:(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -266,6 +268,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def _redact(network: Network):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for frame in frames:
             at = frame.schema.get_field_index("text")
             texts = frame.column(at).to_pylist()

@@ -13,6 +13,7 @@ cannot forge the end of a document. `special=True` reads them as the library doe
 from __future__ import annotations
 
 import functools
+import gc
 import re
 from array import array
 from collections.abc import Iterator
@@ -89,6 +90,7 @@ class Encoder:
             stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART_BYTES, side="right")))
             yield (stop - at, *self._part(texts.slice(at, stop - at), end_id))
             at = stop
+        pa.default_memory_pool().release_unused()
 
     def _part(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         odd = pc.match_substring_regex(texts, _ODD[self._keeps_space]).to_numpy(zero_copy_only=False).copy()
@@ -141,6 +143,14 @@ def vocabulary(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
+def forget() -> None:
+    """Gives back what a worker holds for tokenizers, when it turns to other work."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 class _Pieces:
     """Ids of pieces; a piece of a tokenizer that keeps spaces may begin with one, and other tokenizers lower-case.
 
