@@ -45,6 +45,17 @@ def test_gives_rows(spark, name):
     assert queries.QUERIES[name](spark, SF).limit(1).count() == 1
 
 
+def test_products_of_stored_floats_are_rounded_as_in_sql(spark, tmp_path):
+    vectors = [(1, [1000.1, 2000.2, 3000.3]), (2, [0.1, -0.7, 1e7, 12345.678]), (3, [16777215.0, 16777215.0, 16777215.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    columns = ["vec_id", "dot", "dot3", "outer_sum", "mixed"]
+    found = con.execute(f"select {', '.join(columns)} from ({queries.ORACLES['f_vectors']}) order by vec_id").fetchall()
+    got = queries.QUERIES["f_vectors"](spark, str(tmp_path)).orderBy("vec_id").select(*columns).collect()
+    assert [tuple(map(plain, r)) for r in got] == [tuple(map(plain, r)) for r in found]
+
+
 def test_the_entry_module_stands_alone():
     import __spark_entry__
 
