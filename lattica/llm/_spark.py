@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lattica.plans.store import shared_dir, stored
 
-__all__ = ["BROADCAST_ROWS", "components", "partitions", "shared_dir", "small_or_not", "smallest_reachable", "stored", "trusted_labels"]
+__all__ = ["BROADCAST_ROWS", "components", "partitions", "settings", "shared_dir", "small_or_not", "smallest_reachable", "stored", "trusted_labels"]
 
 #: Rows of a narrow table (a few numbers each) up to which it is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -26,6 +27,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold for what is run while this is open, and are put back then."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of the links (a[i], b[i]) and for each the smallest node reachable from it."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)

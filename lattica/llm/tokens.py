@@ -16,6 +16,7 @@ import functools
 import gc
 import re
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers: two generations of so many, of which the older one is dropped when the younger is full.
-#: Pieces of tokenizers that lower-case are fewer. An entry takes about 200 bytes, and idle workers keep theirs.
-CACHE_PIECES = {True: 800_000, False: 400_000}
-#: Bytes of text that are cut at once.
-PART_BYTES = 12 << 20
+#: An entry takes about 200 bytes, and idle workers keep theirs. Frequent pieces move to the younger one, so few are lost.
+CACHE_PIECES = {True: 500_000, False: 400_000}
+#: Bytes of text that are cut at once; what a part takes meanwhile is some fifteen times that.
+PART_BYTES = {True: 6 << 20, False: 12 << 20}
 _BEFORE_WORD = re.compile(r"(?= \S)")
 _RUN = re.compile(r"\s[\s]")
 #: The same for Arrow's kernels, with a blank at the end and the mark of a cut: texts that are cut one by one.
@@ -45,7 +46,12 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-_LETTERS = {b: c for b, c in enumerate(_byte_letters())}
+_SHOWN = "".join(_byte_letters())
+
+
+def _letters(word: str) -> str:
+    """A word as byte-level vocabularies spell it."""
+    return charmap_decode(word.encode(), "strict", _SHOWN)[0]
 
 
 class Encoder:
@@ -87,7 +93,7 @@ class Encoder:
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(texts):
-            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART_BYTES, side="right")))
+            stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART_BYTES[self._keeps_space], side="right")))
             yield (stop - at, *self._part(texts.slice(at, stop - at), end_id))
             at = stop
         pa.default_memory_pool().release_unused()
@@ -186,8 +192,8 @@ class _Pieces:
 
     def many(self, pieces: pa.Array) -> list[bytes]:
         """Ids of different pieces; plain words among them take the shortest way."""
-        simple = pc.match_substring_regex(pieces, r"\A ?[A-Za-z]+\z" if self._keeps_space else r"\A[a-z]+\z").to_pylist()
-        words, older, tokenize, blank = pieces.to_pylist(), self._older, self._model.tokenize, _LETTERS[32]
+        simple = pc.match_substring_regex(pieces, r"\A ?[A-Za-zÀ-ÖØ-öø-ÿ]+\z" if self._keeps_space else r"\A[a-z]+\z").to_pylist()
+        words, older, tokenize, keeps_space = pieces.to_pylist(), self._older, self._model.tokenize, self._keeps_space
         found = list(map(self._known.get, words))
         for k, ids in enumerate(found):
             if ids is None:
@@ -197,7 +203,7 @@ class _Pieces:
                 else:
                     ids = older.get(word)
                     if ids is None:
-                        ids = array("I", [t.id for t in tokenize(blank + word[1:] if word[0] == " " else word)]).tobytes()
+                        ids = array("I", [t.id for t in tokenize(_letters(word) if keeps_space else word)]).tobytes()
                     self._known[word] = ids
                 found[k] = ids
         if len(self._known) >= self._most:
@@ -216,8 +222,6 @@ class _Pieces:
                 found = self._whole(key)
             else:
                 word = word if self._keeps_space else key
-                if not word.isascii():
-                    word = word.encode().decode("latin-1").translate(_LETTERS)
-                found = array("I", [t.id for t in self._model.tokenize((_LETTERS[32] if lead else "") + word)]).tobytes()
+                found = array("I", [t.id for t in self._model.tokenize(_letters(lead + word))]).tobytes()
         self._known[key] = found
         return found

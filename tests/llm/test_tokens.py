@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -82,6 +85,53 @@ def test_wavelet_round_trip(spark, shard_tokens):
     assert wavelet.read_shards(wavelet.write_shards(docs(spark, []), tokenizer(BYTE), 2)).count() == 0
 
 
+def test_small_ranges_share_a_file_of_small_row_groups(spark):
+    import pyarrow.parquet as pq
+
+    rows = [(k, f"word{k} " * (k % 50), "en", "a") for k in range(200)]
+    held = {k: spark.conf.get(k, None) for k in wavelet.SMALL_BATCHES}
+    shards = wavelet.write_shards(docs(spark, rows), tokenizer(BYTE), 2, shard_tokens=500)
+    assert held == {k: spark.conf.get(k, None) for k in wavelet.SMALL_BATCHES}
+    (file,) = shards.inputFiles()
+    found = pq.ParquetFile(file.removeprefix("file://")).metadata
+    column = found.row_group(0).column(3)
+    assert column.path_in_schema == "shard" and column.compression == "UNCOMPRESSED"
+    assert {r.part for r in shards.collect()} == {0, 1, 2, 3} and found.num_rows > 8
+    got = sorted(map(tuple, wavelet.read_shards(shards).collect()))
+    assert [r[0] for r in got] == list(range(200)) and [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist()
+    large = wavelet.stored(spark.range(6, numPartitions=1).selectExpr("repeat(cast(id as string), 1500000) as shard"), **wavelet.STORED)
+    (file,) = large.inputFiles()
+    assert pq.ParquetFile(file.removeprefix("file://")).metadata.num_row_groups >= 3
+
+
+def test_memory_of_a_worker_that_sees_ever_new_words():
+    code = """
+import resource, sys
+import pyarrow as pa
+from lattica.llm.tokens import Encoder
+def word(k):
+    return " " + "".join(chr(97 + k // 26**i % 26) for i in range(6))
+encoder, most = Encoder(sys.argv[1], True), lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+before = most()
+for part in range(7):
+    at = part * 300_000
+    texts = pa.array(["".join(word(k) for k in range(at + j, at + j + 1000)) for j in range(0, 300_000, 1000)] * 6)
+    for _ in encoder.batches(texts, 2):
+        pass
+print(most() - before)
+"""
+    run = subprocess.run([sys.executable, "-c", code, tokenizer(BYTE)], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)}, timeout=300)
+    assert int(run.stdout) < 350, run.stdout
+
+
+def test_latin_words_take_the_short_way_to_the_same_ids():
+    letters, draw, encoder, whole = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)] if chr(c).isalpha()], random.Random(8), Encoder(tokenizer(BYTE), True), plain(BYTE)
+    texts = [draw.choice(["", " "]) + " ".join("".join(draw.choices(letters, k=draw.randint(1, 9))) for _ in range(draw.randint(1, 9))) for _ in range(500)]
+    (_, ids, bounds), = encoder.batches(pa.array(texts), 7)
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == [*whole(text), 7], repr(text)
+
+
 def check_pieces(pieces, lengths, window):
     by_doc, by_sequence = {}, {}
     for document, start, length, sequence, offset in pieces:
