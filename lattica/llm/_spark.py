@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lattica.plans.store import shared_dir, stored
 
-__all__ = ["BROADCAST_ROWS", "components", "partitions", "settings", "shared_dir", "small_or_not", "smallest_reachable", "stored", "trusted_labels"]
+__all__ = ["BROADCAST_ROWS", "components", "few_files", "partitions", "settings", "shared_dir", "small_or_not", "smallest_reachable", "stored", "trusted_labels"]
 
 #: Rows of a narrow table (a few numbers each) up to which it is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -27,6 +27,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """df, a narrow table (a few numbers each row, made without texts), in fewer partitions, as it needs no file for each. In a local folder each file costs the executor that writes it processes of its own, which set its mode."""
+    return df.coalesce(-(-partitions(df.sparkSession) // 32))
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Settings of the session that hold for what is run while this is open, and are put back then."""

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._spark import small_or_not, stored, trusted_labels
+from ._spark import few_files, small_or_not, stored, trusted_labels
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -73,12 +73,26 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", we
     names a column of docs that comes along.
     """
     also = [F.col(key).alias("row_key")] if key else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"), *also)
+    rows = docs.select(*_sizes(F.col("doc_id"), F.col("source"), F.col("text"), seed), *also)
+    return _taken(stored(_keys(rows, quality), "sized"), weights, most, range_rows)
+
+
+def _sizes(doc_id: Column, source: Column, text: Column, seed: str) -> list[Column]:
+    """What the mixture needs of a document: doc_id, source, size and its draw u."""
+    return [doc_id.cast("long").alias("doc_id"), source.alias("source"), word_count(text).alias("size"), uniform(doc_id, text, seed).alias("u")]
+
+
+def _keys(rows: DataFrame, quality: DataFrame | None) -> DataFrame:
+    """rows with the key that orders them in place of u."""
     if quality is not None:
         rows = rows.join(small_or_not(stored(quality.select("doc_id", F.col("weight").alias("quality")), "weights")), "doc_id", "left")
     else:
         rows = rows.withColumn("quality", F.lit(1.0))
-    rows = stored(rows.withColumn("key", -F.log("u") / F.coalesce("quality", F.lit(1.0))).drop("quality", "u"), "sized")
+    return rows.withColumn("key", -F.log("u") / F.coalesce("quality", F.lit(1.0))).drop("quality", "u")
+
+
+def _taken(rows: DataFrame, weights: tuple[int, ...], most: int, range_rows: int) -> DataFrame:
+    """What mix() returns, of a stored table of doc_id, source, size, key and, where it is wanted, row_key."""
     ranges = max(1, rows.count() // range_rows)
     sources = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "sources")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -92,7 +106,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", we
     inner = Window.partitionBy("number", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(sums, ["number", "range"])
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("below") - F.col("within")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"), *(["row_key"] if key else []))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"), *[c for c in rows.columns if c == "row_key"])
 
 
 def quality_weights(spark, sf_dir: str) -> DataFrame:
@@ -101,17 +115,20 @@ def quality_weights(spark, sf_dir: str) -> DataFrame:
     return trusted_labels(spark, sf_dir).select("doc_id", F.when(label == 1, QUALITY[1]).when(label == 0, QUALITY[0]).otherwise(QUALITY[None]).alias("weight"))
 
 
-def apply(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
+def apply(docs: DataFrame, quality: DataFrame | None = None, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The mixture as documents: each row of docs as often as the mixture takes it whole, and once more cut to the words of the rest.
 
-    quality and options are those of mix(), which decides row by row. Columns are those of docs; n_chars, if there is
-    one, counts the text that is left. Rows of which nothing is taken go.
+    quality and options are those of mix(), and so is what is taken, row by row. Texts are read for their sizes and draws
+    while they are stored with their keys; what follows is narrow and goes to few files. Columns are those of docs; n_chars,
+    if there is one, counts the text that is left. Rows of which nothing is taken go.
     """
     cells = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row_key"), cells.alias("row")), "keyed")
-    mixed = mix(keyed.select("row_key", "row.doc_id", "row.source", "row.text"), quality, key="row_key", **options)
-    taken = stored(mixed.where("taken > 0").select("row_key", F.col("size").alias("words"), F.col("taken").alias("share")), "taken")
-    rows = keyed.join(small_or_not(taken), "row_key")
+    sizes = F.struct(*_sizes(F.col("doc_id"), F.col("source"), F.col("text"), seed))
+    keyed = stored(docs.select(F.monotonically_increasing_id().alias("row_key"), cells.alias("row"), sizes.alias("sizes")), "keyed")
+    mixed = _taken(stored(few_files(_keys(keyed.select("row_key", "sizes.*"), quality)), "sized"), weights, most, range_rows)
+    taken = mixed.where("taken > 0").select("row_key", F.col("size").alias("words"), F.col("taken").alias("share"))
+    taken = stored(few_files(taken), "taken")
+    rows = keyed.drop("sizes").join(small_or_not(taken), "row_key")
     rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(1), F.ceil(F.col("share") / F.col("words")).cast("int"))))
     rows = rows.withColumn("left", F.least(F.col("words"), F.col("share") - (F.col("turn") - 1) * F.col("words")))
     ends = F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each piece is a word and the blanks before it

@@ -1,10 +1,12 @@
 import collections
+import glob
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import mixing
+from lattica.plans.store import recorded
 
 from .common import ODD, docs
 
@@ -82,3 +84,11 @@ def test_rows_of_one_id_draw_apart(spark):
     rows = [(None, f"text {k}", "en", "a") for k in range(300)] + [(5, f"words {k}", "en", "a") for k in range(300)]
     drawn = docs(spark, rows).select(mixing.uniform(F.col("doc_id"), F.col("text"), "mix").alias("u")).distinct().count()
     assert drawn == 600
+
+
+def test_apply_writes_few_files(spark):
+    """Tables without texts need no file for each partition of the texts."""
+    with recorded() as paths:
+        assert mixing.apply(docs(spark, ROWS).repartition(40), range_rows=10).count() > 0
+    files = {p.rsplit("/", 1)[1].split("-")[0]: len(glob.glob(p.removeprefix("file://") + "/part-*")) for p in paths}
+    assert files.pop("keyed") > 1 and files == {"sized": 1, "sources": 1, "sums": 1, "taken": 1}
