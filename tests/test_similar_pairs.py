@@ -41,3 +41,18 @@ def test_null_ratings_make_no_part(spark):
     assert got("slope_one") == {(2, 1): -1.0, (3, 1): None}
     assert got("tanimoto") == {(2, 1): pytest.approx(12 / (13 + 16 - 12)), (3, 1): None}
     assert got("chebyshev")[(2, 1)] == pytest.approx(1 / 2) and frame.where(F.col("rating").isNull()).count() == 2
+
+
+def test_similarities_that_add_nothing_do_not_meet_ratings(spark, monkeypatch):
+    from lattica.plans.store import recorded
+
+    monkeypatch.setattr(items, "LIST", 2)
+    r = spark.createDataFrame([(1, 1, 1.0), (1, 2, 3.0), (2, 4, 2.0), (3, 9, 1.0)], "user long, item long, rating double")
+    s = spark.createDataFrame([(1, 3, 2.0), (1, 4, 1.0), (2, 3, 0.5), (4, 2, 0.9), (1, 5, 1.5), (1, 6, 3.0), (1, 2, 4.0)], "item_i long, item_j long, sim double")
+    with recorded() as paths:
+        got = items.from_similarity(r, s, undirected=False, rule="shifted")
+    near = [p for p in paths if "/near-" in p]
+    assert sum(len(x.l) for x in spark.read.parquet(near[0]).collect()) == 4  # 1 with 3, 5, 6 and 2
+    assert {tuple(x[:2]): x[2] for x in got.collect()} == {(1, 3): 1.0, (1, 5): 0.5, (1, 6): 2.0}
+    power = {tuple(x[:2]): x[2] for x in items.from_similarity(r, s, q=1.0).collect()}
+    assert power == {(1, 3): pytest.approx(2 + 1.5), (1, 4): pytest.approx(1 + 2.7), (1, 5): 1.5, (1, 6): 3.0, (2, 1): 2.0, (2, 2): pytest.approx(1.8)}
