@@ -5,6 +5,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lattica import queries
 
@@ -72,3 +73,12 @@ def test_topics_use_the_whole_vocabulary(spark, monkeypatch):
     assert queries.QUERIES["t_topics"](spark, SF).count() == 20 * 10
     lines = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id as line", "text")
     assert seen == [(20, 10, token_counts(lines).select("token").distinct().count())]
+
+
+def test_addresses_of_many_users(spark, tmp_path):
+    rows = [(k, u, "t") for k, u in enumerate((0, 255, 256, 65535, 65536, 90000, 1 << 24, (1 << 24) + 70000))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    found = con.execute(f"select src, dst, attr from ({queries.ORACLES['t_address_pairs']}) order by all").fetchall()
+    assert sorted(map(tuple, queries.QUERIES["t_address_pairs"](spark, str(tmp_path)).select("src", "dst", "attr").collect())) == found
