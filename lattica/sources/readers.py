@@ -145,12 +145,15 @@ def converted(spark: SparkSession, path: str, target: str, format: str = "edgeli
 
 
 def matrix_size(spark: SparkSession, path: str) -> tuple[int, int, int] | None:
-    """Rows, columns and entries from a Matrix Market size line, or from the side file `path:info`; None if neither is there."""
+    """Rows, columns and entries from a Matrix Market size line, or from the side file `path:info`; None if neither is there. Of several files, the one with the banner has the size line."""
     for place in (path, f"{path}:info"):
         try:
-            line = spark.read.text(place).where(~F.col("value").startswith("%") & (F.trim("value") != "")).first()
+            lines = spark.read.text(place).select("value", F.col("_metadata.file_path").alias("file"))
+            head = lines.where(F.lower("value").startswith("%%matrixmarket")).first()
         except Exception:  # no such side file
             continue
+        lines = lines if head is None else lines.where(F.col("file") == head.file)
+        line = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).first()
         tokens = line.value.split() if line else []
         if len(tokens) == 3 and all(t.isdigit() for t in tokens):
             return tuple(map(int, tokens))

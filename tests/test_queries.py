@@ -82,3 +82,13 @@ def test_addresses_of_many_users(spark, tmp_path):
     con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     found = con.execute(f"select src, dst, attr from ({queries.ORACLES['t_address_pairs']}) order by all").fetchall()
     assert sorted(map(tuple, queries.QUERIES["t_address_pairs"](spark, str(tmp_path)).select("src", "dst", "attr").collect())) == found
+
+
+def test_matrix_files_are_written_by_many_tasks(spark):
+    from lattica.sources import readers
+
+    rows = spark.range(1, 1001, 1, 4).select((F.col("id") % 7 + 1).alias("user"), F.col("id").alias("item"), F.lit(2.5).alias("rating"))
+    place = queries._market(spark, rows, "user", "item", "rating")
+    assert spark.read.text(place).where("value not like '%\\%%' escape '\\\\'").select(F.input_file_name()).distinct().count() == 5
+    assert readers.matrix_size(spark, place) == (7, 1000, 1000)
+    assert sorted(readers.ratings(spark, place).collect()) == sorted(rows.collect())
