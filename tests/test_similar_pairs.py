@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,16 @@ def test_similarities_that_add_nothing_do_not_meet_ratings(spark, monkeypatch):
     assert {tuple(x[:2]): x[2] for x in got.collect()} == {(1, 3): 1.0, (1, 5): 0.5, (1, 6): 2.0}
     power = {tuple(x[:2]): x[2] for x in items.from_similarity(r, s, q=1.0).collect()}
     assert power == {(1, 3): pytest.approx(2 + 1.5), (1, 4): pytest.approx(1 + 2.7), (1, 5): 1.5, (1, 6): 3.0, (2, 1): 2.0, (2, 2): pytest.approx(1.8)}
+
+
+def test_recommendations_sort_candidates_alone(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    f = draw.integers(-2, 3, (60, 3)).astype(float)  # many ties
+    e = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(f)], "item long, factors array<double>")
+    monkeypatch.setattr(items, "_ROWS", 7)
+    got = items.recommend(e.withColumnRenamed("item", "user"), e, e.select(e.item.alias("user"), "item"), 4, block=25)
+    s = f @ f.T
+    want = {(u, k + 1): (i, s[u, i]) for u in range(60) for k, i in enumerate(sorted((i for i in range(60) if i != u), key=lambda i: (-s[u, i], i))[:4])}
+    assert {(r.user, r["rank"]): (r.item, r.score) for r in got.collect()} == want
+    x = np.array([[3.0, np.nan, 1.0, 2.0], [np.nan] * 4])
+    assert items._kth(x, 3)[0] == 3.0 and np.isnan(items._kth(x, 2)[1]) and items._kth(x[:, 2:], 9)[0] == 2.0
