@@ -238,3 +238,13 @@ def test_models(spark):
     clicks = spark.createDataFrame([(k, 1 if k % 2 else -1, [f"f{k % 2}", "all"]) for k in range(100)], "row long, target int, features array<string>")
     belief = {r.feature: r.mean for r in models.click_model(clicks, 4).collect()}
     assert belief["f1"] > 0.2 and belief["f0"] < -0.2 and abs(belief["all"]) < 0.1
+
+
+def test_passes_store_what_gradients_read(spark):
+    from lattica.plans.store import recorded
+
+    _, data = low_rank()
+    with recorded() as paths:
+        factors.sgd(spark.createDataFrame(data, RATINGS), 2, 1, biased=True)
+    passes = [p for p in paths if "/pass-" in p]
+    assert spark.read.parquet(passes[0]).columns == ["user", "item", "e", "p", "f_item", "miss"]
