@@ -247,4 +247,4 @@ def test_passes_store_what_gradients_read(spark):
     with recorded() as paths:
         factors.sgd(spark.createDataFrame(data, RATINGS), 2, 1, biased=True)
     passes = [p for p in paths if "/pass-" in p]
-    assert spark.read.parquet(passes[0]).columns == ["user", "item", "e", "p", "f_item", "miss"]
+    assert spark.read.parquet(passes[0]).columns == ["user", "item", "e", "p", "f_item"]
